@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jpegmedia, reshard, segbpe, tokenfiles
+from . import adaptjoin, jpegmedia, linedup, reshard, secretscan, segbpe, tokenfiles
 from .common import documents, fresh_path
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -20,6 +20,14 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpegmedia.digests(documents(spark, sf_dir))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptjoin.jaccard_components(documents(spark, sf_dir), width=3, percent=90)
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.digests(documents(spark, sf_dir))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, rewrite the shards that change, and describe every row from the files themselves."""
     placed = reshard.reshard(documents(spark, sf_dir).select("doc_id", "text"))
@@ -36,6 +44,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(documents(spark, sf_dir))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segbpe.digests(documents(spark, sf_dir), RANKS, PATTERN)
 
@@ -47,9 +59,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_line_dedup": op4_line_dedup,
     "op6_sharding": op6_sharding,
+    "op7_secret_scans": op7_secret_scans,
     "op8_byte_bpe": op8_byte_bpe,
     "op10_token_files": op10_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_line_dedup": linedup.DIGEST_SQL}
