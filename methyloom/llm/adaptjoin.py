@@ -63,14 +63,15 @@ def _power(base: int, n: int) -> np.ndarray:
     return _powers[base][:n]
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of all texts (A-Z lower-cased, split at space and \\t to \\r), and
-    where each text's words begin; one entry more than texts."""
+def word_hashes(texts: list[str | None], between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts (A-Z lower-cased; ``between`` says for each byte whether
+    it parts words: space and \\t to \\r by default), and where each text's words begin; one entry
+    more than texts."""
     coded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b" ".join([*coded, b""]), np.uint8)
     if not len(data):
         return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    space = _SPACE[data]
+    space = between[data]
     before = np.concatenate([[True], space[:-1]])
     start = np.nonzero(~space & before)[0]
     end = np.nonzero(space & ~before)[0]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptjoin, jpegmedia, linedup, reshard, secretscan, segbpe, tokenfiles
+from . import adaptjoin, cgkdecon, crflang, jpegmedia, linedup, reshard, secretscan, segbpe, tokenfiles
 from .common import documents, fresh_path
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -20,6 +20,10 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpegmedia.digests(documents(spark, sf_dir))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crflang.digests(documents(spark, sf_dir))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adaptjoin.jaccard_components(documents(spark, sf_dir), width=3, percent=90)
 
@@ -52,6 +56,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segbpe.digests(documents(spark, sf_dir), RANKS, PATTERN)
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cgkdecon.find_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokenfiles.write_token_files(documents(spark, sf_dir), TOKENIZER)
     return tokenfiles.read_token_files(spark, files)
@@ -59,11 +67,13 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
+    "op2_language_id": op2_language_id,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_line_dedup": op4_line_dedup,
     "op6_sharding": op6_sharding,
     "op7_secret_scans": op7_secret_scans,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_token_files": op10_token_files,
 }
 
