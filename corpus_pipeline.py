@@ -1,20 +1,66 @@
-"""The corpus pipeline: stages that each work on all documents the stage before has kept."""
+"""The corpus pipeline: stages that each work on all documents the stage before has kept.
+
+Language ID, line dedup, near-duplicate removal, benchmark decontamination, byte-level BPE. Each stage
+takes and returns the columns of ``documents``, but for the last, which returns the digests of the
+ids. Texts that line dedup has emptied stay as empty documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from methyloom.llm import adaptjoin, cgkdecon, crflang, linedup, segbpe
 from methyloom.llm.common import documents, fresh_path
 from methyloom.llm.queries import PATTERN, RANKS
-from methyloom.llm.segbpe import digests
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+MIN_SCORE = 0.4  # of the language's mean word probability
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a letter and those that are no language's by their words; fill in a
+    missing lang."""
+    model = crflang.fit(docs)
+    labelled = crflang.with_language(docs.select(*COLUMNS), model)
+    kept = labelled.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Delete later copies of runs of two or more lines."""
+    return linedup.dedup_lines(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of the smallest doc_id of each group of near copies (five-word shingles,
+    similarity 0.8). Rows that repeat a kept doc_id are told apart by their texts, one of each stays."""
+    groups = adaptjoin.jaccard_components(docs, width=5, percent=80)
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
+    kept = kept.withColumnRenamed("doc_id", "_kept")
+    rows = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")))
+    if not kept.filter("c > 1").isEmpty():
+        rows = rows.filter("c = 1").unionByName(rows.filter("c > 1").dropDuplicates(["doc_id", "text"]))
+    return rows.select(*COLUMNS)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item."""
+    return cgkdecon.decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text by byte-level BPE, as digests."""
-    return digests(docs, RANKS, PATTERN)
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, and the text again from the ids, as digests."""
+    return segbpe.digests(docs, RANKS, PATTERN)
 
 
-STAGES = [("byte_bpe", encode_tokens)]
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("byte_bpe", byte_bpe),
+]
 
 ORACLE_SQL = None
 

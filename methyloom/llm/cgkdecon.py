@@ -29,7 +29,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .adaptjoin import mix, word_hashes
 from .common import chunks
@@ -157,52 +156,66 @@ def runs(words: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
-def find_items(docs: DataFrame, benchmark: DataFrame, distance: float = DISTANCE) -> DataFrame:
-    """doc_id, item_id, edits, first_word and end_word for every contaminated document and each item
-    it holds (``docs``: doc_id, text; ``benchmark``: item_id, text), one row each."""
-    spark = docs.sparkSession
-    schema = "doc_id long, item_id long, edits long, first_word long, end_word long"
-    out, block, size = None, [], 0
-    blocks = []
+def matches(bench: Benchmark, texts: list[str | None]) -> dict[int, list[tuple[int, int, int, int]]]:
+    """For the number of each text that holds an item: (item_id, edits, first word, end word)."""
+    words, bounds = words_of(texts)
+    owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for q, known in bench.sorted.items():
+        got = runs(words, q)
+        at = np.nonzero(bench.filters[q][(got & np.uint64((1 << 20) - 1)).astype(np.int64)])[0]
+        at = at[known[np.minimum(np.searchsorted(known, got[at]), len(known) - 1)] == got[at]]
+        at = at[owner[at] == owner[at + q - 1]]
+        for p, h in zip(at.tolist(), got[at].tolist()):
+            row = int(owner[p])
+            hits[row] += [(i, p - int(bounds[row]) - o) for i, o in bench.seeds[q][h]]
+    found = {row: bench.find(words[bounds[row] : bounds[row + 1]], list(dict.fromkeys(own))) for row, own in hits.items()}
+    return {row: own for row, own in found.items() if own}
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
+    block, size = [], 0
     for row in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         if block and (len(block) >= BLOCK_ITEMS or size + len(row["text"] or "") > BLOCK_CHARS):
-            blocks.append(block)
+            yield block
             block, size = [], 0
         block.append((row["item_id"], row["text"]))
         size += len(row["text"] or "")
-    blocks += [block] if block else []
-    for items in blocks:
-        found = docs.select("doc_id", "text").mapInPandas(_finder(Benchmark(items, distance)), schema)
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], schema) if out is None else out
-
-
-def _finder(bench: Benchmark):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in chunks(frames, "text", 1_000_000):
-            words, bounds = words_of(list(part["text"]))
-            owner = np.repeat(np.arange(len(part)), np.diff(bounds))
-            hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            for q, known in bench.sorted.items():
-                got = runs(words, q)
-                at = np.nonzero(bench.filters[q][(got & np.uint64((1 << 20) - 1)).astype(np.int64)])[0]
-                at = at[known[np.minimum(np.searchsorted(known, got[at]), len(known) - 1)] == got[at]]
-                at = at[owner[at] == owner[at + q - 1]]
-                for p, h in zip(at.tolist(), got[at].tolist()):
-                    row = int(owner[p])
-                    hits[row] += [(i, p - int(bounds[row]) - o) for i, o in bench.seeds[q][h]]
-            rows = []
-            doc_ids = part["doc_id"].tolist()
-            for row, own in hits.items():
-                text = words[bounds[row] : bounds[row + 1]]
-                rows += [(doc_ids[row], *x) for x in bench.find(text, list(dict.fromkeys(own)))]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "first_word", "end_word"]).astype("Int64")
-
-    return run
+    if block:
+        yield block
+
+
+def find_items(docs: DataFrame, benchmark: DataFrame, distance: float = DISTANCE) -> DataFrame:
+    """doc_id, item_id, edits, first_word and end_word for every contaminated document and each item
+    it holds (``docs``: doc_id, text; ``benchmark``: item_id, text), one row each."""
+    schema = "doc_id long, item_id long, edits long, first_word long, end_word long"
+    out = docs.sparkSession.createDataFrame([], schema)
+
+    def finder(bench: Benchmark):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in chunks(frames, "text", 1_000_000):
+                ids = part["doc_id"].tolist()
+                rows = [(ids[row], *x) for row, own in matches(bench, list(part["text"])).items() for x in own]
+                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "edits", "first_word", "end_word"]).astype("Int64")
+
+        return run
+
+    for items in _blocks(benchmark):
+        out = out.unionByName(docs.select("doc_id", "text").mapInPandas(finder(Benchmark(items, distance)), schema))
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, distance: float = DISTANCE) -> DataFrame:
-    """``docs`` without the documents that hold an item; rows of a null doc_id stay only if clean
-    themselves, since each row's own id is what is dropped."""
-    found = find_items(docs, benchmark, distance).select("doc_id").distinct().withColumnRenamed("doc_id", "_found")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_found")), "left_anti")
+    """``docs`` without the rows whose text holds an item, in one pass for each block of items."""
+
+    def cleaner(bench: Benchmark):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for part in chunks(frames, "text", 1_000_000):
+                bad = matches(bench, list(part["text"]))
+                yield part[[row not in bad for row in range(len(part))]] if bad else part
+
+        return run
+
+    for items in _blocks(benchmark):
+        docs = docs.mapInPandas(cleaner(Benchmark(items, distance)), docs.schema)
+    return docs

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import adaptjoin, cgkdecon, crflang, jpegmedia, linedup, reshard, secretscan, segbpe, tokenfiles
+from . import adaptjoin, cgkdecon, crflang, jpegmedia, linedup, pfpdedup, reshard, secretscan, segbpe, tokenfiles
 from .common import documents, fresh_path
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -32,6 +32,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.digests(documents(spark, sf_dir))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfpdedup.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, rewrite the shards that change, and describe every row from the files themselves."""
     placed = reshard.reshard(documents(spark, sf_dir).select("doc_id", "text"))
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_line_dedup": op4_line_dedup,
+    "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_sharding": op6_sharding,
     "op7_secret_scans": op7_secret_scans,
     "op8_byte_bpe": op8_byte_bpe,

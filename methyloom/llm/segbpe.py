@@ -133,12 +133,20 @@ _cut = regex.compile(rf"(?<=[^{SPACES}])(?=[ \n])")
 _odd = regex.compile(rf"[{SPACES}][ \n]|[\0\t\x0b\x0c\r\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
 
 
+#: Bytes of the characters that _odd looks for, or that begin one in UTF-8.
+_suspect = bytes([0, 9, 11, 12, 13, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF])
+
+
 def word_runs(text: str) -> list[str]:
     """Cut a text where a space or line feed follows another kind of character: the parts can be
     encoded one by one, since no piece of the pattern runs or looks across such a place."""
-    if _odd.search(text) is None:
-        return text.replace(" ", "\0 ").replace("\n", "\0\n").lstrip("\0").split("\0") if text else []
-    return [run for run in _cut.split(text) if run] if len(text) else []
+    if not text:
+        return []
+    raw = text.encode("utf-8", "surrogatepass")
+    plain = not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text) and len(raw.translate(None, _suspect)) == len(raw)
+    if plain or _odd.search(text) is None:
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").lstrip("\0").split("\0")
+    return [run for run in _cut.split(text) if run]
 
 
 _codecs: dict[tuple[str, str], Codec] = {}

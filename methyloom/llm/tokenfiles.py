@@ -18,6 +18,8 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
+from collections import ChainMap
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,19 +49,39 @@ class RunEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str], end: int) -> list[bytes]:
-        runs = [word_runs(text) for text in texts]
-        missing = list({run for part in runs for run in part} - self.known.keys())
-        if len(self.known) + len(missing) > CACHE_ENTRIES:
-            self.known, missing = {}, list({run for part in runs for run in part})
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, runs: set[str]) -> None:
+        """Remember the ids of runs; those the older memory holds move over without encoding."""
+        if len(self.known) + len(runs) > CACHE_ENTRIES // 2:
+            self.older, self.known = self.known, {}
+        known, older, code = self.known, self.older, self.code
+        missing = []
+        for run in runs:
+            if (got := older.get(run)) is None:
+                missing.append(run)
+            else:
+                known[run] = got
         for at in range(0, len(missing), 20_000):
             part = missing[at : at + 20_000]
             made = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((run, np.array(x.ids, self.dtype).tobytes()) for run, x in zip(part, made))
-        get, tail = self.known.__getitem__, np.array([end], self.dtype).tobytes()
-        return [b"".join([*map(get, part), tail]) for part in runs]
+            known.update((run, array(code, x.ids).tobytes()) for run, x in zip(part, made))
+
+    def encode(self, texts: list[str], end: int) -> list[bytes]:
+        tail, out = array(self.code, [end]).tobytes(), []
+        for at in range(0, len(texts), 512):
+            runs = [word_runs(text) for text in texts[at : at + 512]]
+            coded = [list(map(self.known.get, part)) for part in runs]
+            new = {run for part, got in zip(runs, coded) if None in got for run, x in zip(part, got) if x is None}
+            if new:
+                before = self.known
+                self.learn(new)
+                known = self.known.__getitem__ if self.known is before else ChainMap(self.known, self.older).__getitem__
+                coded = [list(map(known, part)) if None in got else got for part, got in zip(runs, coded)]
+            out += [b"".join(got) + tail for got in coded]
+        return out
 
 
 def encoder(path: str) -> RunEncoder:
