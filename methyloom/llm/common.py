@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+CELLS = 1 << 20  # of the table that tells which rows need not move
 CHUNK_CHARS = 4_000_000  # text handled at once inside one Python task
 
 
@@ -43,7 +45,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._methyloom_path = path
+    # what was shuffled on the way is needed no more; Spark frees it when its handles are collected
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`stored` that nothing reads any more."""
+    for table in tables:
+        removed(table.sparkSession, table._methyloom_path)
 
 
 def removed(spark: SparkSession, path: str) -> None:
@@ -78,6 +91,14 @@ def extended(schema: T.StructType, **fields: str) -> T.StructType:
     return T.StructType([*schema.fields, *more])
 
 
+def touched(docs: DataFrame, keys: DataFrame, *on: str, how: str = "left_semi") -> DataFrame:
+    """Rows of ``docs`` that may have one of ``keys`` (all that have, and few others while keys are
+    few), or with ``left_anti`` the rest: by a broadcast table of at most ``CELLS`` hash cells, so no text moves."""
+    cell = F.pmod(F.xxhash64(*on), F.lit(CELLS)).cast("int")
+    cells = keys.select(cell.alias("_cell")).distinct()
+    return docs.withColumn("_cell", cell).join(F.broadcast(cells), "_cell", how).drop("_cell")
+
+
 def text_size(text: str = "text"):
     """UTF-8 bytes of a text column, 0 for null."""
     return F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")

@@ -37,14 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .adaptjoin import _BASE, _INVERSE, _power, mix
-from .common import chunks, stored
+from .common import chunks, dropped, stored, touched
 
 LENGTH = 400
 TRIGGER = 12
 PERIOD = 48
 FINE = 8
 REACH_SHARE = 0.6  # of the window's length: how far an anchor may lie from its start
-CELLS = 1 << 20  # of the table that tells which texts need not move
 
 _BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(1000))
 
@@ -126,14 +125,9 @@ def _window_rows(opened: DataFrame, length: int) -> DataFrame:
     return opened.select("doc_id", "th", "text", "list").mapInPandas(run, "doc_id long, th int, at int, core long, name long")
 
 
-def _cell(df: DataFrame) -> DataFrame:
-    return df.withColumn("_cell", F.pmod(F.xxhash64("doc_id", "th"), F.lit(CELLS)).cast("int"))
-
-
 def _with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    """Texts joined with their lists; a table of at most ``CELLS`` hash cells keeps most others from moving."""
-    cells = _cell(lists.select("doc_id", "th")).select("_cell").distinct()
-    rows = _cell(docs).join(F.broadcast(cells), "_cell", "left_semi").drop("_cell")
+    """Texts that have a list, with it, and perhaps a few others."""
+    rows = touched(docs, lists, "doc_id", "th")
     lists = lists.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "list")
     return rows.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").drop("_id", "_th")
 
@@ -145,6 +139,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     cores = rows.groupBy("core").agg(F.count(F.lit(1)).alias("c"), F.min("context").alias("c1"), F.max("context").alias("c2")).filter("c > 1")
     cores = cores.select("core", (F.col("c1") != F.col("c2")).alias("mixed"))
     found = stored(rows.join(cores, "core"), "repeated")
+    dropped(rows)
     whole = found.filter("not mixed").select("doc_id", "th", "lo", "hi")
     mixed = found.filter("mixed").drop("mixed")
     place = F.struct("doc_id", "th", "lo", "hi")
@@ -183,12 +178,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 rows.append((doc_id, len(raw), sum(b - a for a, b in spans), len(spans), kept.hexdigest(), [{"start": a, "end": b} for a, b in spans]))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]).astype({"doc_id": "Int64"})
 
-    touched = _with_lists(docs, lists).select("doc_id", "text", "list").mapInPandas(run, schema)
-    cells = _cell(lists.select("doc_id", "th")).select("_cell").distinct()
-    others = _cell(docs).join(F.broadcast(cells), "_cell", "left_anti")
+    changed = _with_lists(docs, lists).select("doc_id", "text", "list").mapInPandas(run, schema)
+    others = touched(docs, lists, "doc_id", "th", how="left_anti")
     zero = F.lit(0).cast("long")
     others = others.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)").alias("spans"))
-    return touched.unionByName(others)
+    return changed.unionByName(others)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
