@@ -19,7 +19,6 @@ import os
 import uuid
 import zlib
 from array import array
-from collections import ChainMap
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -74,12 +73,13 @@ class RunEncoder:
         for at in range(0, len(texts), 512):
             runs = [word_runs(text) for text in texts[at : at + 512]]
             coded = [list(map(self.known.get, part)) for part in runs]
-            new = {run for part, got in zip(runs, coded) if None in got for run, x in zip(part, got) if x is None}
+            holes = [(part, got, [i for i, x in enumerate(got) if x is None]) for part, got in zip(runs, coded) if None in got]
+            new = {part[i] for part, _, at_i in holes for i in at_i}
             if new:
-                before = self.known
                 self.learn(new)
-                known = self.known.__getitem__ if self.known is before else ChainMap(self.known, self.older).__getitem__
-                coded = [list(map(known, part)) if None in got else got for part, got in zip(runs, coded)]
+                for part, got, at_i in holes:
+                    for i in at_i:
+                        got[i] = self.known[part[i]]
             out += [b"".join(got) + tail for got in coded]
         return out
 
