@@ -93,8 +93,8 @@ def from_json_objects(lines: DataFrame, column: str = "value") -> DataFrame:
     rows = rows.withColumn("spdi", F.element_at(F.get(placed, F.lit(0))["alleles"], -1)["allele"]["spdi"])
     single = lambda x: (F.length(x["deleted_sequence"]) == 1) & (F.length(x["inserted_sequence"]) == 1)
     counts = F.filter(F.flatten(F.transform("o.primary_snapshot_data.allele_annotations", lambda a: a["frequency"])), lambda f: single(f["observation"]) & (f["allele_count"] <= f["total_count"]) & (f["observation"]["deleted_sequence"] != f["observation"]["inserted_sequence"]))
-    zero = F.lit(0).cast("long")
-    seen, total = (F.aggregate(counts, zero, lambda t, f, k=k: t + f[k]) for k in ("allele_count", "total_count"))
+    added = lambda k: F.aggregate(counts, F.lit(0).cast("long"), lambda t, f: t + f[k])
+    seen, total = added("allele_count"), added("total_count")
     rows = rows.filter(single(F.col("spdi")) & (F.col("spdi.deleted_sequence") != F.col("spdi.inserted_sequence")) & F.col("spdi.position").isNotNull())
     share = F.when(total > 0, seen / total)
     return rows.select(F.col("spdi.seq_id").alias("contig"), (F.col("spdi.position") + 1).alias("pos"), F.concat(F.lit("rs"), "o.refsnp_id").alias("name"), F.least(share, 1 - share).alias("maf"))
