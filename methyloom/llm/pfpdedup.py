@@ -3,9 +3,9 @@
 **Parse.** A rolling hash of ``TRIGGER`` bytes cuts texts into phrases: a place where the hash is 0 modulo
 ``PERIOD`` begins one. What a window of ``length`` bytes holds decides alone which triggers it holds,
 so equal windows, wherever they start, have their first trigger at the same offset (their anchor).
-Windows whose first ``REACH`` bytes begin no phrase take a finer trigger (``FINE``) as anchor, and those of
-hardly changing bytes, without either, stand for themselves. All windows of one anchor form a segment:
-a phrase's suffixes together with what follows it in the parse.
+Windows whose first ``REACH_SHARE`` begin no phrase, in text of few distinct words, take the least hash
+there instead. All windows of one anchor form a segment: a phrase's suffixes together with what
+follows it in the parse.
 
 **Order.** Suffixes need telling apart only within ``length`` bytes, so places in corpus order are
 named by 64-bit hashes instead of ranks: neighbours of a suffix array whose longest common prefix is
@@ -16,7 +16,8 @@ dictionary and the parse do for a suffix array of a whole text:
    unique cores have no repeated window and drop out;
 2. the *context*, all bytes of the segment's windows; a context that occurs twice repeats in every
    window. Only contexts that are unique beside others of the same core, the edges of repeated
-   regions, are opened window by window, against one member of each other context.
+   regions, are opened into finer segments and then single windows, against one member of each
+   other context.
 
 Cores are counted before rows are joined, so no group of copies meets in one task, and the
 join's skew is split by adaptive execution. Names count as equal only together with their core's name (128
@@ -41,9 +42,9 @@ from .common import chunks, dropped, stored, touched
 
 LENGTH = 400
 TRIGGER = 12
-PERIOD = 48
-FINE = 8
-REACH_SHARE = 0.6  # of the window's length: how far an anchor may lie from its start
+PERIOD = 80
+STEPS = (8, 1)  # windows of the finer segments that edges are opened into
+REACH_SHARE = 0.7  # of the window's length: how far an anchor may lie from its start
 
 _BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(1000))
 
@@ -65,64 +66,87 @@ def _joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.frombuffer(b"".join(coded), np.uint8), np.cumsum(size) - size, size
 
 
+def _least(rolled: np.ndarray, width: int) -> np.ndarray:
+    """For each place, where the least of ``width`` values from there on stands, the first of equals
+    (by their upper halves)."""
+    keyed = rolled & np.uint64(0xFFFFFFFF00000000) | np.arange(len(rolled), dtype=np.uint64)
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        keyed[:-step] = np.minimum(keyed[:-step], keyed[step:])
+        done += step
+    return (keyed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 def segments(texts: list[str | None], length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Of all windows of all texts, by anchor: text number, first and last window start (in the
-    text), core name and context name."""
+    """Of all windows of all texts, by anchor: text number, first and last window start and
+    anchor (in the text), core name and context name."""
     data, first, size = _joined(texts)
     count = np.maximum(size - length + 1, 0)
     empty = np.empty(0, np.int64)
     if not count.sum():
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return empty, empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
     owner = np.repeat(np.arange(len(texts)), count)
     start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + first[owner]
     name = Hasher(data)
     width, reach = min(TRIGGER, length), int(length * REACH_SHARE)
     rolled = name(np.arange(len(data) - width + 1), np.arange(width, len(data) + 1))
-    anchor, level = start.copy(), np.full(len(start), 3, np.uint64)
     reach = min(reach, length - width)
-    for kind, period in ((2, FINE), (1, PERIOD)):
-        marks = np.append(np.nonzero(rolled % np.uint64(period) == 0)[0], 1 << 60)
-        after = marks[np.searchsorted(marks, start)]
-        near = after - start <= reach
-        anchor[near], level[near] = after[near], kind
+    marks = np.append(np.nonzero(rolled % np.uint64(PERIOD) == 0)[0], 1 << 60)
+    anchor = marks[np.searchsorted(marks, start)]
+    level = np.ones(len(start), np.uint64)
+    rest = np.nonzero(anchor - start > reach)[0]
+    if len(rest):
+        anchor[rest], level[rest] = _least(rolled, reach + 1)[start[rest]], 2
     change = np.ones(len(start), bool)
     change[1:] = (anchor[1:] != anchor[:-1]) | (level[1:] != level[:-1]) | (owner[1:] != owner[:-1])
     lo_at = np.nonzero(change)[0]
     hi_at = np.append(lo_at[1:], len(start)) - 1
     lo, hi, anchor, level, owner = start[lo_at], start[hi_at], anchor[lo_at], level[lo_at], owner[lo_at]
-    core = mix(name(anchor, np.where(level < 3, anchor + length - reach, anchor + length)) + level)
-    shape = ((anchor - lo) << 20 | (anchor - hi)).astype(np.uint64)
-    context = mix(name(lo, hi + length) + mix(shape))
-    return owner, lo - first[owner], hi - first[owner], core, context
+    core = mix(name(anchor, anchor + length - reach) + level)
+    context = mix(name(lo, hi + length) + _shape(anchor, lo, hi))
+    return owner, lo - first[owner], hi - first[owner], anchor - first[owner], core, context
+
+
+def _shape(anchor: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    return mix(((anchor - lo) << 20 | (anchor - hi)).astype(np.uint64))
+
+
+ROWS = "doc_id long, th int, lo int, hi int, anchor int, core long, context long"
 
 
 def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in chunks(frames, "text", 600_000):
-            owner, lo, hi, core, context = segments(list(part["text"]), length)
+            owner, lo, hi, anchor, core, context = segments(list(part["text"]), length)
             ids = part["doc_id"].astype("Int64").array[owner] if len(owner) else pd.array([], "Int64")
-            yield pd.DataFrame({"doc_id": ids, "th": part["th"].to_numpy()[owner], "lo": lo, "hi": hi, "core": core.astype(np.int64), "context": context.astype(np.int64)})
+            yield pd.DataFrame({"doc_id": ids, "th": part["th"].to_numpy()[owner], "lo": lo, "hi": hi, "anchor": anchor, "core": core.astype(np.int64), "context": context.astype(np.int64)})
 
-    return docs.mapInPandas(run, "doc_id long, th int, lo int, hi int, core long, context long")
+    return docs.mapInPandas(run, ROWS)
 
 
-def _window_rows(opened: DataFrame, length: int) -> DataFrame:
-    """One row for each window of the segments listed beside each text."""
+def _finer_rows(opened: DataFrame, length: int, step: int) -> DataFrame:
+    """Segments of ``step`` windows, cut from those listed beside each text at multiples of ``step`` from
+    their anchors; a core is what all windows of an uncut segment share."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in chunks(frames, "text", 300_000):
             data, first, _ = _joined(list(part["text"]))
-            listed = [np.array([(s["lo"], s["hi"], s["core"]) for s in own], np.int64).reshape(-1, 3) for own in part["list"]]
+            listed = [np.array([(s["lo"], s["hi"], s["anchor"], s["core"]) for s in own], np.int64).reshape(-1, 4) for own in part["list"]]
             row = np.repeat(np.arange(len(part)), [len(x) for x in listed])
-            lo, hi, core = np.concatenate(listed).T
-            row = np.repeat(row, hi - lo + 1)
-            n = hi - lo + 1
-            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - lo, n)
-            name = Hasher(data)(at + first[row], at + first[row] + length)
+            lo, hi, anchor, core = np.concatenate(listed).T
+            n = (anchor - lo) // step - (anchor - hi) // step + 1
+            k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n - (anchor - hi) // step, n)
+            row, lo, hi, anchor, core = (np.repeat(x, n) for x in (row, lo, hi, anchor, core))
+            near = anchor - k * step  # the last window start of the uncut segment
+            lo, hi, at = np.maximum(lo, near - step + 1), np.minimum(hi, near), first[row]
+            name = Hasher(data)
+            inner = mix(name(at + near, at + near - step + 1 + length) + mix(core.astype(np.uint64) + k.astype(np.uint64)))
+            whole = mix(name(at + lo, at + hi + length) + _shape(anchor, lo, hi))
             ids = part["doc_id"].astype("Int64").array[row]
-            yield pd.DataFrame({"doc_id": ids, "th": part["th"].to_numpy()[row], "at": at, "core": np.repeat(core, n), "name": name.astype(np.int64)})
+            yield pd.DataFrame({"doc_id": ids, "th": part["th"].to_numpy()[row], "lo": lo, "hi": hi, "anchor": anchor, "core": inner.astype(np.int64), "context": whole.astype(np.int64)})
 
-    return opened.select("doc_id", "th", "text", "list").mapInPandas(run, "doc_id long, th int, at int, core long, name long")
+    return opened.select("doc_id", "th", "text", "list").mapInPandas(run, ROWS)
 
 
 def _with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -132,28 +156,32 @@ def _with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
     return rows.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left").drop("_id", "_th")
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, th, lo and hi: ranges of starts of windows that also start elsewhere. ``docs`` has
-    doc_id, text and th, a hash that tells apart rows of one doc_id."""
-    rows = stored(_segment_rows(docs, length), "segments")
+def _classified(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of stored segments (which are dropped): those that repeat as a whole, and one member of each
+    context of the cores where some context is unique beside others."""
     cores = rows.groupBy("core").agg(F.count(F.lit(1)).alias("c"), F.min("context").alias("c1"), F.max("context").alias("c2")).filter("c > 1")
-    cores = cores.select("core", (F.col("c1") != F.col("c2")).alias("mixed"))
-    found = stored(rows.join(cores, "core"), "repeated")
+    found = stored(rows.join(cores.select("core", (F.col("c1") != F.col("c2")).alias("mixed")), "core"), "repeated")
     dropped(rows)
     whole = found.filter("not mixed").select("doc_id", "th", "lo", "hi")
     mixed = found.filter("mixed").drop("mixed")
-    place = F.struct("doc_id", "th", "lo", "hi")
-    contexts = stored(mixed.groupBy("core", "context").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("p")), "contexts")
+    contexts = stored(mixed.groupBy("core", "context").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "th", "lo", "hi", "anchor")).alias("p")), "contexts")
     often = contexts.filter("c > 1").select("core", "context")
     whole = whole.unionByName(mixed.join(often, ["core", "context"], "left_semi").select("doc_id", "th", "lo", "hi"))
     edges = contexts.groupBy("core").agg(F.min("c").alias("least")).filter("least = 1").select("core")
-    opened = contexts.join(edges, "core").select("p.*", "core")
-    lists = stored(opened.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi", "core")).alias("list")), "opened")
-    # rows that repeat doc_id and text give the same windows; their contexts are not unique anyway
-    windows = stored(_window_rows(_with_lists(docs, lists).filter("list is not null"), length).distinct(), "windows")
-    names = windows.groupBy("core", "name").agg(F.count(F.lit(1)).alias("c"))
-    hits = windows.join(names.filter("c > 1").select("core", "name"), ["core", "name"], "left_semi").select("doc_id", "th", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    return whole.unionByName(hits)
+    return whole, contexts.join(edges, "core", "left_semi").select("p.*", "core")
+
+
+def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """doc_id, th, lo and hi: ranges of starts of windows that also start elsewhere. ``docs`` has
+    doc_id, text and th, a hash that tells apart rows of one doc_id."""
+    out, opened = _classified(stored(_segment_rows(docs, length), "segments"))
+    for step in STEPS:
+        # rows that repeat doc_id and text give the same segments; their contexts are not unique anyway
+        lists = stored(opened.groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi", "anchor", "core")).alias("list")), "opened")
+        finer = _finer_rows(_with_lists(docs, lists).filter("list is not null"), length, step)
+        whole, opened = _classified(stored(finer.distinct(), "segments"))
+        out = out.unionByName(whole)
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
