@@ -33,7 +33,8 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 
 NEAR = 48
-MIN_RATIO = 0.62
+MIN_RATIO = 0.8
+LEVEL = 19
 CONTEXT_WORDS = ("key", "secret", "token", "passw", "auth", "credential", "private", "bearer", "signature", "session", "login", "pwd", "salt", "cert")
 _context = re.compile("|".join(CONTEXT_WORDS), re.ASCII | re.IGNORECASE)
 _candidate = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,80}[0-9])(?=[0-9+/_=-]{0,80}[A-Za-z])[A-Za-z0-9+/_=-]{12,}")
@@ -45,6 +46,7 @@ IDENTIFIERS = " ".join(
     for a in ("client", "server", "user", "access", "account", "service", "database", "session", "request", "response", "config", "default", "public", "private", "secret", "api", "auth")
     for b in ("id", "key", "name", "token", "password", "secret", "value", "path", "host", "port", "url", "type", "version", "index", "count", "size")
 )
+PATHS = " ".join(f"/{a}/{b}/" for a in ("usr", "var", "etc", "opt", "home", "tmp", "srv", "mnt") for b in ("lib", "local", "bin", "share", "data", "log", "user", "config", "cache"))
 CODE = "import from return class function const let var public static void string int null true false self this new http https www com org json xml html src lib usr bin etc home data test main index 0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ password=\"\" token: '' api_key= Authorization: Bearer "
 
 _compressor: list[zstandard.ZstdCompressor] = []
@@ -53,10 +55,11 @@ _compressor: list[zstandard.ZstdCompressor] = []
 def compressed(text: str) -> int:
     """Bytes of a text after the dictionary, without frame headers that vary."""
     if not _compressor:
-        primer = zstandard.ZstdCompressionDict((IDENTIFIERS + CODE).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        params = zstandard.ZstdCompressionParameters.from_level(3, write_checksum=False, write_content_size=False, write_dict_id=False)
+        primer = zstandard.ZstdCompressionDict((PATHS + IDENTIFIERS + CODE).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False)
         _compressor.append(zstandard.ZstdCompressor(dict_data=primer, compression_params=params))
-    return len(_compressor[0].compress(text.encode("utf-8", "surrogatepass")))
+    # CODE before it, from the dictionary too, keeps short texts from being stored as they are
+    return len(_compressor[0].compress((CODE + text).encode("utf-8", "surrogatepass")))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
