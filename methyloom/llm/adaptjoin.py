@@ -1,23 +1,31 @@
 """Jaccard self-join of documents over word shingles with adaptive multi-match prefixes.
 
-Shingles are ordered by their estimated document frequency, rarest first. Two sets of similarity
-``percent`` share at least l of their first ``n - ceil(percent * n / 100) + l`` shingles, for every l.
-A longer prefix costs more index entries, but asks for l shared ones before two sets are compared.
-Each document takes the l that its own estimated cost (entries scanned, candidates compared)
-favours; a pair uses the smaller l of the two, whose prefixes both documents have indexed.
-
-Documents of equal sets form one class; classes, not documents, are joined. Within a class of an
-index entry not all pairs are tried: some rounds first compare every member with one hub of its entry
-and merge what is linked; then all pairs of an entry that are still in different components are
+Shingles are ordered by their estimated document frequency, rarest first. A document of n shingles can
+miss m = ``n - ceil(percent * n / 100)`` of them in a partner. Indexed by its first m + l, it shares at
+least l with every partner whose own prefix reaches as far. A longer prefix costs more entries, but
+asks for l shared ones before two sets are compared: each document takes the l that its own
+estimated cost (entries scanned, candidates compared) favours.
+
+**Bounds.** Of two documents let x be the one whose prefix ends first. All of x's indexed shingles that
+the partner has are in the partner's prefix too. So x's entries that nobody shares are missing there,
+and so are the partner's up to that place; together they must not exceed the difference that the
+similarity allows. Documents with too many such entries can only be the partner whose prefix ends
+later, which few are: most of a corpus drops out here. Pairs are checked against the same bound, then
+for l_x shared entries, and only then by their sets.
+
+**Groups.** Documents of equal sets form one class; classes are joined. Not all pairs of an index entry
+are tried: in some rounds every member is compared with one hub of its entry, the one with the
+fewest entries of its own, and what is linked is merged; then only pairs of different components are
 candidates. So a group of thousands of near copies costs a multiple of its size, and no link
 between components is missed.
 
 Document frequencies come from one count sketch of all documents (``SKETCH_CELLS`` cells, whatever the
-input; summed over partitions). It steers order and cost only: any estimate gives the same links.
+input; summed over partitions). It steers order and cost only: any estimate gives the same components.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +33,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, stored
+from .common import chunks, dropped, stored, touched
 from .components import components
 
-SKETCH_CELLS = 1 << 20
-MAX_MATCH = 4
+SKETCH_CELLS = 1 << 24  # a byte each; about a tenth of the shingles makes a sharp order
+MATCHES = (0.5, 1.0, 2.0)  # l as a share of the shingles that may miss
 COMPARE_COST = 20.0  # of comparing two sets, in index entries scanned
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -111,60 +119,64 @@ def class_id(own: np.ndarray) -> int:
     return int(mix(mix(mix(parts[:1]) + parts[1:2]) + parts[2:])[0].astype(np.int64))
 
 
-def frequency_sketch(docs: DataFrame, width: int, cells: int = SKETCH_CELLS, blocks: int = 16) -> np.ndarray:
-    """Estimated document frequency of each cell of shingles, summed over all documents."""
+def frequency_sketch(docs: DataFrame, width: int, cells: int = SKETCH_CELLS, blocks: int = 64) -> tuple[np.ndarray, int]:
+    """Document frequencies of cells of shingles over all documents, coded in a byte each by
+    :data:`FREQUENCIES`, and their mean."""
     each = cells // blocks
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros(cells, np.int64)
+        held = np.zeros(cells, np.uint16)
         for part in chunks(frames, "text", 1_000_000):
-            sets = shingle_sets(list(part["text"]), width)
-            held += np.bincount((np.concatenate(sets) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
-        held = np.minimum(held, 65535).astype("<u2").reshape(blocks, each)
-        yield pd.DataFrame({"block": range(blocks), "counts": [x.tobytes() for x in held]})
+            own = np.concatenate(shingle_sets(list(part["text"]), width))
+            at, times = np.unique(own & np.uint64(cells - 1), return_counts=True)
+            at = at.astype(np.int64)
+            held[at] = np.minimum(held[at] + times, 65_535)
+        yield pd.DataFrame({"block": range(blocks), "counts": [zlib.compress(x.astype("<u2").tobytes(), 1) for x in held.reshape(blocks, each)]})
 
     def add(key: tuple, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros(each, np.int64)
         for frame in frames:
             for x in frame["counts"]:
-                held += np.frombuffer(x, "<u2")
-        yield pd.DataFrame({"block": [key[0]], "counts": [np.minimum(held, 2**32 - 1).astype("<u4").tobytes()]})
+                held += np.frombuffer(zlib.decompress(x), "<u2")
+        # a byte a cell: up to 128 as it is, from there half the bits of the logarithm's fraction
+        coded = np.where(held <= 128, held, np.minimum(128 + 6 * np.log2(np.maximum(held, 128) / 128), 255)).astype(np.uint8)
+        yield pd.DataFrame({"block": [key[0]], "counts": [coded.tobytes()], "total": [int(held.sum())]})
 
-    schema = "block int, counts binary"
-    rows = docs.select("text").mapInPandas(count, schema).groupBy("block").applyInPandas(add, schema).collect()
-    found = np.zeros((blocks, each), np.uint32)
+    rows = docs.select("text").mapInPandas(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary, total long").collect()
+    found = np.zeros((blocks, each), np.uint8)
     for r in rows:
-        found[r["block"]] = np.frombuffer(r["counts"], "<u4")
-    return found.ravel()
+        found[r["block"]] = np.frombuffer(r["counts"], np.uint8)
+    return found.ravel(), sum(r["total"] for r in rows) // cells
 
 
-def prefix(own: np.ndarray, sketch: np.ndarray, load: int, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The shingles a set is indexed by, for each the least l whose prefix holds it, and the set's l."""
-    n = len(own)
-    need = -(-percent * n // 100)
-    often = np.maximum(sketch[(own & np.uint64(len(sketch) - 1)).astype(np.int64)].astype(np.int64) - load, 1)
-    order = np.lexsort((own, often))[: n - need + MAX_MATCH]
-    others = np.cumsum(often[order] - 1)
-    levels = range(1, min(MAX_MATCH, need) + 1)
-    cost = [others[n - need + k - 1] * (1 + COMPARE_COST / k) + (n - need + k) for k in levels]
-    best = int(np.argmin(cost)) + 1
-    chosen = order[: n - need + best]
-    return own[chosen], np.maximum(np.arange(len(chosen)) - (n - need) + 1, 1), best
+#: What the bytes of a sketch stand for.
+FREQUENCIES = np.where(np.arange(256) <= 128, np.arange(256), 128 * 2.0 ** ((np.arange(256) - 128) / 6)).astype(np.int64)
 
 
-def _sets(docs: DataFrame, width: int, sketch: np.ndarray, percent: int) -> DataFrame:
-    load = int(sketch.mean())
+def prefix(own: np.ndarray, sketch: np.ndarray, load: int, percent: int) -> tuple[np.ndarray, int]:
+    """The keys a set is indexed by, in order, and the set's l. A key is the frequency code of a
+    shingle's cell and 55 bits of its hash."""
+    n = len(own)
+    miss = n - -(-percent * n // 100)
+    code = sketch[(own & np.uint64(len(sketch) - 1)).astype(np.int64)].astype(np.uint64)
+    keys = np.sort(code << np.uint64(55) | own >> np.uint64(9)).astype(np.int64)
+    others = np.cumsum(np.maximum(FREQUENCIES[keys >> 55] - load, 1) - 1)
+    levels = sorted({min(n - miss, int(share * miss) + 2) for share in MATCHES})
+    cost = [others[miss + k - 1] * (1 + COMPARE_COST / k) + miss + k for k in levels]
+    best = levels[int(np.argmin(cost))]
+    return keys[: miss + best], best
 
+
+def _sets(docs: DataFrame, width: int, sketch: np.ndarray, load: int, percent: int) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in chunks(frames, "text", 1_000_000):
             rows = []
             for doc_id, own in zip(part["doc_id"], shingle_sets(list(part["text"]), width)):
-                tokens, levels, match = prefix(own, sketch, load, percent) if len(own) else (own, np.empty(0, np.int64), 0)
-                rows.append((doc_id, len(own), class_id(own) if len(own) else None, tokens.astype(np.int64), levels, match))
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "cid", "tokens", "levels", "l"])
-            yield out.astype({"doc_id": "Int64", "cid": "Int64"})
+                keys, match = prefix(own, sketch, load, percent) if len(own) else (np.empty(0, np.int64), 0)
+                rows.append((doc_id, len(own), class_id(own) if len(own) else 0, keys, match))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "cid", "keys", "l"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, cid long, tokens array<long>, levels array<tinyint>, l int")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, cid long, keys array<long>, l int")
 
 
 def _texts_of(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
@@ -175,7 +187,8 @@ def _texts_of(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
             sets = shingle_sets(list(part["text"]), width)
             yield pd.DataFrame({"cid": [class_id(x) if len(x) else 0 for x in sets], "own": [x.astype(np.int64) for x in sets]})
 
-    return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("text").mapInPandas(run, "cid long, own array<long>")
+    rows = touched(docs.select("doc_id", "text"), wanted, "doc_id").join(wanted, "doc_id", "left_semi")
+    return rows.select("text").mapInPandas(run, "cid long, own array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -193,31 +206,57 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     n_links counts the other classes that a row's class was found linked to (links inside a component
     already known are not all looked for). Rows that repeat a doc_id each get their own text's result.
     """
-    sketch = frequency_sketch(docs, width)
-    found = stored(_sets(docs, width, sketch, percent), "sets")
-    classes = found.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("l").alias("l"), F.first(F.arrays_zip("tokens", "levels")).alias("zipped"))
-    index = stored(classes.select("cid", "doc_id", "n", "l", F.explode("zipped").alias("z")).select("cid", "doc_id", "n", "l", F.col("z.tokens").alias("token"), F.col("z.levels").alias("level")), "index")
-    shared = index.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("token")
-    index = stored(index.join(shared, "token"), "entries").withColumn("band", F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int"))
+    sketch, load = frequency_sketch(docs, width)
+    found = stored(_sets(docs, width, sketch, load, percent), "sets")
+    classes = found.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("keys").alias("keys"))
+    classes, every = stored(classes, "classes"), found
+    found = stored(found.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid")), "members")
+    dropped(every)
+
+    entries = classes.select(F.explode("keys").alias("key"), "cid")
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
+    mine = entries.join(shared, "key").groupBy("cid").agg(F.collect_list("key").alias("mine"))
+    most = F.floor(F.col("n") * (100 - percent) / percent)
+    own = classes.join(mine, "cid").select("cid", "doc_id", "n", "l", F.element_at("keys", -1).alias("last"), "mine", F.array_except("keys", "mine").alias("alone"))
+    own, every = stored(own.withColumn("strong", F.size("alone") <= most), "classes"), classes
+    dropped(every)
+
+    # a pair needs a strong class, and the partner's prefix ends no earlier than its
+    rows = own.select("cid", "doc_id", "n", "l", "last", "strong", F.size("alone").alias("alone_n"), F.explode("mine").alias("key"))
+    ends = rows.groupBy("key").agg(F.min(F.when(F.col("strong"), F.col("last"))).alias("first_end"), F.count(F.lit(1)).alias("c")).filter("first_end is not null and c > 1")
+    index = stored(rows.join(ends, "key").filter("strong or last >= first_end").drop("first_end", "c"), "entries")
     sets = stored(_texts_of(docs, width, index.select("doc_id").distinct()), "compared")
+    index = index.drop("doc_id").withColumn("band", F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int"))
 
     near = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
     links, known = None, None
     for turn in range(HUB_ROUNDS):
-        entries = index.withColumn("comp", F.col("cid")) if known is None else index.join(known, "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
-        hub = entries.groupBy("token", "band").agg(F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), F.col("cid").alias("hub"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))).alias("s"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-        hub = hub.filter("c1 <> c2").select("token", "band", "s.*")
-        pairs = entries.join(hub, ["token", "band"]).filter(f"comp <> comp2 and {near}").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
+        rows = index.withColumn("comp", F.col("cid")) if known is None else index.join(known, "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+        # even rounds take the most central class of an entry as its hub, odd ones any
+        worth = F.col("alone_n").cast("long") if turn % 2 == 0 else F.lit(0).cast("long")
+        hub = rows.groupBy("key", "band").agg(F.min(F.struct(worth.alias("w"), F.xxhash64("cid", F.lit(turn)).alias("h"), F.col("cid").alias("hub"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))).alias("s"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+        hub = hub.filter("c1 <> c2").select("key", "band", "s.*")
+        pairs = rows.join(hub, ["key", "band"]).filter(f"comp <> comp2 and {near}").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
         new = _verified(pairs, sets, percent)
         links = stored(new if links is None else links.unionByName(new), "links")
         known = components(links).select(F.col("id").alias("cid"), "component")
-    entries = index.join(known, "cid", "left").withColumn("comp", F.coalesce("component", "cid")).select("token", "cid", "n", "l", "level", "comp")
-    mixed = entries.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("token")
-    entries = stored(entries.join(mixed, "token", "left_semi"), "open")
-    other = entries.select("token", *[F.col(c).alias(f"{c}2") for c in ("cid", "n", "l", "level", "comp")])
-    match = F.least("l", "l2")
-    pairs = entries.join(other, "token").filter(f"cid < cid2 and comp <> comp2 and {near}").filter((F.col("level") <= match) & (F.col("level2") <= match))
-    pairs = pairs.groupBy(F.col("cid").alias("a"), F.col("cid2").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(match).alias("need")).filter("c >= need").select("a", "b")
+
+    rows = index.select("key", "cid").join(known, "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("key")
+    # of the unshared keys every fourth, for a lower bound; one exchange serves both sides of the join
+    fourth = "transform(filter(sequence(4, greatest(size(alone), 4), 4), i -> i <= size(alone)), i -> alone[i - 1])"
+    rows = rows.join(mixed, "key", "left_semi").join(own.select("cid", "n", "l", "last", "strong", "mine", F.size("alone").alias("alone_n"), F.expr(fourth).alias("alone4")), "cid").repartition("key")
+    other = rows.select("key", *[F.col(c).alias(f"{c}2") for c in ("cid", "comp", "n", "last", "mine", "alone4")])
+    # a is the class whose prefix ends first
+    allowed = f"n + n2 - 2 * ceil({percent} * (n + n2) / {100 + percent}.0D)"
+    first = "strong and (last < last2 or (last = last2 and cid < cid2)) and comp <> comp2"
+    # all tests are the join's own condition, cheapest first, and a pair counts at its first common key only
+    unshared = "alone_n + 4 * size(filter(alone42, x -> x <= last))"
+    common = "array_intersect(mine, mine2)"
+    once = f"array_min({common}) = key and size({common}) >= l"
+    exact = f"{unshared} + size(mine) + size(filter(mine2, x -> x <= last)) - 2 * size({common}) <= {allowed}"
+    pairs = rows.join(other, "key").filter(f"{first} and {near} and {unshared} <= {allowed} and {once} and {exact}")
+    pairs = stored(pairs.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct(), "pairs")
     links = stored(links.unionByName(_verified(pairs, sets, percent)).distinct(), "links")
     known = components(links).select(F.col("id").alias("cid"), "component")
 
