@@ -40,6 +40,7 @@ SKETCH_CELLS = 1 << 24  # a byte each; about a tenth of the shingles makes a sha
 MATCHES = (0.5, 1.0, 2.0)  # l as a share of the shingles that may miss
 COMPARE_COST = 20.0  # of comparing two sets, in index entries scanned
 HUB_ROUNDS = 2
+SMALL_ENTRY = 24  # members
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -242,21 +243,30 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
         known = components(links).select(F.col("id").alias("cid"), "component")
 
     rows = index.select("key", "cid").join(known, "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("key")
-    # of the unshared keys every fourth, for a lower bound; one exchange serves both sides of the join
-    fourth = "transform(filter(sequence(4, greatest(size(alone), 4), 4), i -> i <= size(alone)), i -> alone[i - 1])"
-    rows = rows.join(mixed, "key", "left_semi").join(own.select("cid", "n", "l", "last", "strong", "mine", F.size("alone").alias("alone_n"), F.expr(fourth).alias("alone4")), "cid").repartition("key")
-    other = rows.select("key", *[F.col(c).alias(f"{c}2") for c in ("cid", "comp", "n", "last", "mine", "alone4")])
-    # a is the class whose prefix ends first
+    sizes = rows.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("size")).filter("c1 <> c2").select("key", "size")
+    rows = stored(rows.join(sizes, "key").join(index.select("key", "cid", "n", "l", "last", "strong", "alone_n"), ["key", "cid"]), "open")
+
+    # a is the class whose prefix ends first; tests are the joins' own conditions, cheapest first
     allowed = f"n + n2 - 2 * ceil({percent} * (n + n2) / {100 + percent}.0D)"
-    first = "strong and (last < last2 or (last = last2 and cid < cid2)) and comp <> comp2"
-    # all tests are the join's own condition, cheapest first, and a pair counts at its first common key only
-    unshared = "alone_n + 4 * size(filter(alone42, x -> x <= last))"
+    first = f"strong and (last < last2 or (last = last2 and cid < cid2)) and comp <> comp2 and {near} and alone_n <= {allowed}"
+    unshared = "alone_n + every2 * size(filter(some2, x -> x <= last))"
     common = "array_intersect(mine, mine2)"
-    once = f"array_min({common}) = key and size({common}) >= l"
-    exact = f"{unshared} + size(mine) + size(filter(mine2, x -> x <= last)) - 2 * size({common}) <= {allowed}"
-    pairs = rows.join(other, "key").filter(f"{first} and {near} and {unshared} <= {allowed} and {once} and {exact}")
-    pairs = stored(pairs.select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct(), "pairs")
+    exact = f"size({common}) >= l and {unshared} + size(mine) + size(filter(mine2, x -> x <= last)) - 2 * size({common}) <= {allowed}"
+    # of a class's unshared keys all if they are few, else every fourth, for a lower bound
+    fourth = "transform(filter(sequence(4, greatest(size(alone), 4), 4), i -> i <= size(alone)), i -> alone[i - 1])"
+    arrays = own.select("cid", "mine", F.when(F.col("strong"), 1).otherwise(4).alias("every"), F.expr(f"if(strong, alone, {fourth})").alias("some"))
+
+    def second(df: DataFrame, *columns: str) -> DataFrame:
+        return df.select(*[c for c in ("key",) if c in df.columns], *[F.col(c).alias(f"{c}2") for c in columns])
+
+    # pairs of small entries are few; their keys are compared once the pairs are known
+    small = rows.filter(f"size <= {SMALL_ENTRY}")
+    few = small.join(second(small, "cid", "comp", "n", "last"), "key").filter(first).select("cid", "cid2", "n", "n2", "l", "last", "alone_n").distinct()
+    few = few.join(arrays.select("cid", "mine"), "cid").join(second(arrays, "cid", "mine", "every", "some"), "cid2").filter(exact).select("cid", "cid2")
+    # large entries carry the keys, and a pair counts at its first common key only
+    large = rows.filter(f"size > {SMALL_ENTRY}").drop("size").join(arrays, "cid").repartition("key")
+    many = large.join(second(large, "cid", "comp", "n", "last", "mine", "every", "some"), "key").filter(f"{first} and {unshared} <= {allowed} and array_min({common}) = key and {exact}").select("cid", "cid2")
+    pairs = stored(few.unionByName(many).select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct(), "pairs")
     links = stored(links.unionByName(_verified(pairs, sets, percent)).distinct(), "links")
     known = components(links).select(F.col("id").alias("cid"), "component")
 
