@@ -33,7 +33,7 @@ SAMPLE_WORDS = 400_000
 EPOCHS = 14
 RATE = 0.4
 PENALTY = 1e-5
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 _tokens = re.compile(r"[^\W\d_]+|\n")
 
@@ -202,7 +202,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(model)
-        for part in chunks(frames, "text", 2_000_000):
+        for part in chunks(frames, "text", 500_000):
             langs, score, *_ = labeller.label(list(part["text"]))
             yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "held_out": part["held_out"], "lang_pred": langs, "score": score})
 
@@ -219,7 +219,7 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(model)
-        for part in chunks(frames, "text", 2_000_000):
+        for part in chunks(frames, "text", 500_000):
             langs, score, *_ = labeller.label(list(part["text"]))
             yield part.assign(lang_pred=langs, score=score)
 

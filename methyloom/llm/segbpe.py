@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, extended
 
-CACHE_ENTRIES = 1_000_000  # pieces remembered by a Python worker
+CACHE_ENTRIES = 400_000  # pieces remembered by a Python worker
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
