@@ -402,7 +402,7 @@ def store_texts(docs: DataFrame, text: str = "text", media: str = "media") -> Da
     schema = extended(docs.schema, **{media: "binary"})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in chunks(frames, text, 1_000_000):
+        for part in chunks(frames, text, 400_000):
             yield part.assign(**{media: encode_payloads([(t or "").encode() for t in part[text]])})
 
     return docs.mapInPandas(run, schema)
@@ -414,7 +414,7 @@ def media_features(df: DataFrame, media: str = "media") -> DataFrame:
     schema = extended(df.select(*[F.col(f"`{c}`") for c in kept]).schema, width="int", height="int", thumbnail="binary", thumb_hash="string", error="string")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in chunks(frames, media, 2_000_000):
+        for part in chunks(frames, media, 600_000):
             rows = [(x["width"], x["height"], x["thumbnail"].tobytes(), average_hash(x["thumbnail"]), None) if isinstance(x, dict) else (None, None, None, None, x) for x in decode_images(list(part[media]))]
             more = pd.DataFrame(rows, columns=["width", "height", "thumbnail", "thumb_hash", "error"], index=part.index)
             more = more.astype({"width": "Int32", "height": "Int32"})
@@ -427,7 +427,7 @@ def digests(docs: DataFrame) -> DataFrame:
     """Store every text, read the stored bytes back, and describe payload, media and features."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in chunks(frames, "media", 2_000_000):
+        for part in chunks(frames, "media", 600_000):
             rows = []
             for doc_id, data, image in zip(part["doc_id"], part["media"], decode_images(list(part["media"]))):
                 if not isinstance(image, dict):
