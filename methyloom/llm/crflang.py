@@ -4,7 +4,7 @@ A chain is a line, cut after ``CHAIN_WORDS`` words. A word's features are its lo
 its prefixes and suffixes of up to three letters and its letter pairs and triples, hashed to
 ``BUCKETS`` weights per language; label transitions have weights too. Training maximises the
 penalised likelihood of a bounded sample of labelled documents (``SAMPLE_DOCS`` rows, chosen by a hash
-of their text) by Adagrad on the exact gradient. Forward-backward gives each word's label
+of the row) by Adagrad on the exact gradient. Forward-backward gives each word's label
 probabilities, so code-switched text is labelled word by word; a document's language is the one of
 the largest mean probability over all its words, ties going to the first in order of name.
 
@@ -162,7 +162,11 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Train on at most ``sample_docs`` rows with text and lang that are not held out."""
     rows = docs.filter(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rows = rows.select("text", "lang").orderBy(F.xxhash64("text"), "lang").limit(sample_docs).collect()
+    spread = F.xxhash64("text", "doc_id")
+    count = rows.count()
+    if count > 4 * sample_docs:  # so that few rows, not some of each partition, compete for the sample
+        rows = rows.filter(F.pmod(spread, F.lit(1 << 32)) < int(4 * sample_docs / count * (1 << 32)))
+    rows = rows.select("text", "lang", spread.alias("h")).orderBy("h", "text", "lang").limit(sample_docs).collect()
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
