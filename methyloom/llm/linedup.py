@@ -10,7 +10,9 @@ names of the largest level with 2**k <= m.
 
 A line goes if it lies in a run of ``min_lines`` or more lines that also begins somewhere earlier in
 the corpus (in the same document too, overlaps included); a longer run with an earlier copy consists
-of such runs, so what goes is the union of all later copies of maximal runs.
+of such runs, so what goes is the union of all later copies of maximal runs. A single line of
+``LINE_WORDS`` words or ``LINE_BYTES`` bytes is a run too (bytes for texts that do not part words by
+spaces); blank, short and stock lines need a neighbour that repeats with them.
 
 Null texts stay null and have no lines. An empty text has one empty line. Rows with the same doc_id
 and text are one place in the corpus and get the same result; rows with the same doc_id and other
@@ -25,12 +27,15 @@ from pyspark.sql import functions as F
 from .common import stored
 
 MIN_LINES = 2
+LINE_WORDS, LINE_BYTES = 25, 200  # from either, one line alone is a run
 
 
 def _places(docs: DataFrame) -> DataFrame:
-    """Every line's place (struct of doc_id, text hash, line number) and the hash of the line."""
+    """Every line's place (struct of doc_id, text hash, line number), the hash of the line, and whether
+    it is a run by itself."""
     lines = docs.select(F.col("doc_id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line", "value"))
-    return lines.select(F.struct("doc_id", "th", "line").alias("p"), F.xxhash64("value").alias("name"))
+    alone = (F.octet_length("value") >= LINE_BYTES) | (F.size(F.split(F.trim("value"), r"\s+")) >= LINE_WORDS)
+    return lines.select(F.struct("doc_id", "th", "line").alias("p"), F.xxhash64("value").alias("name"), alone.alias("alone"))
 
 
 def _repeated(named: DataFrame) -> DataFrame:
@@ -49,13 +54,15 @@ def _ahead(active: DataFrame, by: int) -> DataFrame:
 
 
 def repeated_starts(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """p and first of every place where a run of ``min_lines`` lines begins that also begins elsewhere."""
+    """p, first and size of every place where a run of ``min_lines`` lines, or one line that is a run by
+    itself, begins that also begins elsewhere."""
     active, reach = stored(_repeated(_places(docs)), "lines"), 1
+    lines = active.filter("alone").select("p", "first", F.lit(1).alias("size"))
     while 2 * reach <= min_lines:
         active, reach = stored(_repeated(_ahead(active, reach)), "lines"), 2 * reach
     if reach < min_lines:
         active = stored(_repeated(_ahead(active, min_lines - reach)), "lines")
-    return active
+    return active.select("p", "first", F.lit(min_lines).alias("size")).unionByName(lines)
 
 
 def interval_levels(docs: DataFrame, max_level: int = 31) -> DataFrame:
@@ -77,7 +84,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     more = ["n_lines", "n_removed", "n_runs", "longest_run"]
     own = [c for c in docs.columns if c not in more]
     later = repeated_starts(docs.select("doc_id", "text"), min_lines).filter("p <> first")
-    gone = later.select("p.doc_id", "p.th", F.explode(F.sequence(F.col("p.line"), F.col("p.line") + min_lines - 1)).alias("line"))
+    gone = later.select("p.doc_id", "p.th", F.explode(F.sequence(F.col("p.line"), F.col("p.line") + F.col("size") - 1)).alias("line"))
     gone = gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("_gone")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_gone")
     rows = docs.select(*[F.col(f"`{c}`") for c in own]).withColumn("_h", F.xxhash64("text"))
     rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")

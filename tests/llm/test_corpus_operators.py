@@ -190,6 +190,16 @@ def test_line_dedup(spark, m):
         assert (got[i].text, got[i].n_removed) == (want, len(gone[i]))
 
 
+def test_line_dedup_of_long_single_lines(spark):
+    long, other = " ".join(f"w{k}" for k in range(55)), " ".join(f"v{k}" for k in range(24))
+    joined = "x" * linedup.LINE_BYTES  # no spaces
+    texts = [f"a\n{long}\nb", f"c\n{long}\nd", long, long, f"e\n{other}\nf", f"g\n{other}\nh", other, "", "  ", "  ", joined, f"i\n{joined}", f"j\n{long} y", f"{long}\n{long}"]
+    got = by_id(linedup.dedup_lines(docs(spark, texts)))
+    want = {**dict(enumerate(texts)), 1: "c\nd", 2: "", 3: "", 11: "i", 13: ""}
+    assert {i: r.text for i, r in got.items()} == want
+    assert {i: r.n_removed for i, r in got.items() if r.n_removed} == {1: 1, 2: 1, 3: 1, 11: 1, 13: 2}
+
+
 def test_interval_levels(spark):
     got = {(r.p.doc_id, r.p.line): r.level for r in linedup.interval_levels(docs(spark, ["a\nb\nc\nd\ne", "a\nb\nc\nd\nx"])).collect()}
     assert got[0, 0] == 2 and got[0, 2] == 1 and got[1, 3] == 0 and (0, 4) not in got
