@@ -17,7 +17,9 @@ for l_x shared entries, and only then by their sets.
 are tried: in some rounds every member is compared with one hub of its entry, the one with the
 fewest entries of its own, and what is linked is merged; then only pairs of different components are
 candidates. So a group of thousands of near copies costs a multiple of its size, and no link
-between components is missed.
+between components is missed. Links inside a component are counted once the components are known: of
+small ones all pairs are compared, of large ones all pairs of blocks of ``BLOCK`` classes of like sizes,
+each block pair in one matrix product. That work grows with the square of a large component.
 
 Document frequencies come from one count sketch of all documents (``SKETCH_CELLS`` cells, whatever the
 input; summed over partitions). It steers order and cost only: any estimate gives the same components.
@@ -41,6 +43,7 @@ MATCHES = (0.5, 1.0, 2.0)  # l as a share of the shingles that may miss
 COMPARE_COST = 20.0  # of comparing two sets, in index entries scanned
 HUB_ROUNDS = 2
 SMALL_ENTRY = 24  # members
+BLOCK = 256  # classes compared at once
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -200,12 +203,73 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
 
 
+def partners(x: list[np.ndarray], y: list[np.ndarray], percent: int, width: int = 8192) -> np.ndarray:
+    """For each set of ``x`` and each of ``y`` whether the two are similar enough, exactly."""
+    keys = [np.concatenate(s) for s in (x, y)]
+    common = np.intersect1d(*keys)
+    sides = []
+    for s, k in zip((x, y), keys):
+        row = np.repeat(np.arange(len(s)), [len(v) for v in s])
+        held = np.isin(k, common)
+        at = np.searchsorted(common, k[held])
+        order = np.argsort(at, kind="stable")
+        sides.append((row[held][order], at[order]))
+    both = np.zeros((len(x), len(y)), np.int64)
+    for start in range(0, len(common), width):
+        dense = []
+        for s, (row, at) in zip((x, y), sides):
+            a, b = np.searchsorted(at, [start, start + width])
+            part = np.zeros((len(s), min(width, len(common) - start)), np.float32)
+            part[row[a:b], at[a:b] - start] = 1
+            dense.append(part)
+        both += (dense[0] @ dense[1].T).astype(np.int64)
+    n, n2 = (np.array([len(v) for v in s], np.int64) for s in (x, y))
+    return 100 * both >= percent * (n[:, None] + n2[None, :] - both)
+
+
+def _degrees(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """cid and n_links: how many other classes each class of a component (cid, component) is similar
+    to. All its partners are in its own component."""
+    sizes = known.groupBy("component").agg(F.count(F.lit(1)).alias("c"))
+    known = stored(known.join(sizes, "component"), "sized")
+    few = known.filter(f"c <= {SMALL_ENTRY}").select("component", "cid")
+    pairs = few.withColumnRenamed("cid", "a").join(few.withColumnRenamed("cid", "b"), "component").filter("a < b").select("a", "b")
+    found = _verified(pairs, sets, percent)
+    few = found.select(F.col("a").alias("cid")).unionByName(found.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
+
+    # similar sets are in one band of sizes or in neighbours (a band is a little wider than it need be)
+    step = float(np.log(100.0 / percent)) * 1.001 + 1e-6
+    many = known.filter(f"c > {SMALL_ENTRY}").select("component", "cid").join(sets.select("cid", F.size("own").alias("n")), "cid")
+    many = many.withColumn("band", F.floor(F.log("n") / F.lit(step)))
+    parts = many.groupBy("component", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("parts"))
+    many = many.join(parts, ["component", "band"]).select("component", "cid", "band", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"))
+    many = many.withColumn("band2", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    many = many.join(parts.withColumnRenamed("band", "band2"), ["component", "band2"]).withColumn("part2", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    one, two = F.struct("band", "part"), F.struct(F.col("band2").alias("band"), F.col("part2").alias("part"))
+    many = many.select("component", "cid", F.least(one, two).alias("x"), F.greatest(one, two).alias("y"), (one <= two).alias("left"))
+    many = many.select("component", "cid", "x.*", F.col("y.band").alias("band2"), F.col("y.part").alias("part2"), "left").join(sets, "cid")
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        first = frame.iloc[0]
+        side, own = frame["left"].to_numpy(bool), [np.asarray(v) for v in frame["own"]]
+        cid = frame["cid"].to_numpy()
+        if first["band"] == first["band2"] and first["part"] == first["part2"]:
+            return pd.DataFrame({"cid": cid, "n": partners(own, own, percent).sum(axis=1) - 1})
+        x, y = [v for v, s in zip(own, side) if s], [v for v, s in zip(own, side) if not s]
+        if not x or not y:
+            return pd.DataFrame({"cid": cid[:0], "n": cid[:0]})
+        linked = partners(x, y, percent)
+        return pd.DataFrame({"cid": np.concatenate([cid[side], cid[~side]]), "n": np.concatenate([linked.sum(axis=1), linked.sum(axis=0)])})
+
+    many = many.groupBy("component", "band", "part", "band2", "part2").applyInPandas(count, "cid long, n long")
+    return few.unionByName(many.groupBy("cid").agg(F.sum("n").alias("n_links")))
+
+
 def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links of every row of ``docs`` (doc_id, text).
 
     Texts without words (null ones too) have no shingles, no links and their own doc_id as component.
-    n_links counts the other classes that a row's class was found linked to (links inside a component
-    already known are not all looked for). Rows that repeat a doc_id each get their own text's result.
+    n_links counts the other classes that a row's class is linked to, all of them. Rows that repeat a doc_id each get their own text's result.
     """
     sketch, load = frequency_sketch(docs, width)
     found = stored(_sets(docs, width, sketch, load, percent), "sets")
@@ -270,7 +334,7 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     links = stored(links.unionByName(_verified(pairs, sets, percent)).distinct(), "links")
     known = components(links).select(F.col("id").alias("cid"), "component")
 
-    degree = links.select(F.col("a").alias("cid")).unionByName(links.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = _degrees(known, sets.dropDuplicates(["cid"]), percent)
     members = found.select("doc_id", "n", "cid").join(known, "cid", "left").join(degree, "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
     first = members.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("first"))
     return members.join(first, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

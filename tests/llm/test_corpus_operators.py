@@ -162,6 +162,26 @@ def test_jaccard_components(spark, width, percent):
     assert [got[i].component_id for i in range(len(texts))] == comp
 
 
+@pytest.mark.parametrize(("near", "block"), [(4, 256), (20, 256), (90, 256), (90, 16)])
+def test_links_are_all_counted(spark, monkeypatch, near, block):
+    monkeypatch.setattr(adaptjoin, "BLOCK", block)
+    rng = random.Random(near)
+    vocabulary = [f"w{i}" for i in range(400)]
+    base = prose(rng, 200, vocabulary).split()
+    texts = [" ".join(base[:-1] + [f"own{k}"]) for k in range(4)]  # linked each with each
+    for _ in range(near - 4):  # of several sizes, and not all linked with all
+        words = base[: rng.randrange(160, 201)]
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        texts.append(" ".join(words))
+    texts += [texts[0], prose(rng, 50, vocabulary), "", None]
+    got = by_id(adaptjoin.jaccard_components(docs(spark, texts), 3, 90))
+    words = [(t or "").split() for t in texts]
+    sets = [frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) for w in words]
+    want = [sum(a != b and 100 * len(a & b) >= 90 * len(a | b) for b in set(sets)) if a else 0 for a in sets]
+    assert [got[i].n_links for i in range(len(texts))] == want and min(want[:4]) >= 3
+
+
 def test_components_of_a_long_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(5, 5), (3, 2), (200, 100)], "a long, b long")
     got = {r.id: r.component for r in components(df).collect()}
