@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .templates import blocks
+
 BIN = 1 << 14  # positions; an interval meets the bins it covers
 
 
@@ -50,9 +52,19 @@ def valid_regions(bed: DataFrame) -> DataFrame:
 
 
 def without_overlaps(regions: DataFrame) -> DataFrame:
-    """Regions, in order of start, that overlap no earlier one."""
-    later = region_overlaps(regions).select("contig", F.col("start2").alias("start_pos"), F.col("end2").alias("end_pos")).distinct()
-    return regions.join(later, ["contig", "start_pos", "end_pos"], "left_anti")
+    """Regions, in order of start (of equal starts, of end), that overlap no earlier one that is kept
+    itself; of equal regions one. Each stretch that regions cover without a gap is settled by itself."""
+    keys = ["contig", "start_pos", "end_pos"]
+    rows = blocks(regions.select("contig", F.col("start_pos").alias("st"), F.col("end_pos").alias("en")).distinct(), gap=0)
+    each = rows.groupBy("contig", "block").agg(F.array_sort(F.collect_list(F.struct("st", "en"))).alias("r"))
+    # the list so far and the end of its last region
+    start = F.struct(F.slice("r", 1, 1).alias("kept"), F.get(F.col("r"), F.lit(0))["en"].alias("reach"))
+
+    def step(state: Column, x: Column) -> Column:
+        return F.when(x["st"] > state["reach"], F.struct(F.concat(state["kept"], F.array(x)).alias("kept"), x["en"].alias("reach"))).otherwise(state)
+
+    kept = each.select("contig", F.explode(F.aggregate("r", start, step, lambda state: state["kept"])).alias("k")).select("contig", F.col("k.st").alias("start_pos"), F.col("k.en").alias("end_pos"))
+    return regions.dropDuplicates(keys).join(kept, keys, "left_semi")
 
 
 def sites_in_regions(sites: DataFrame, regions: DataFrame, how: str = "left_semi") -> DataFrame:

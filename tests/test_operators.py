@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +142,18 @@ def test_blocks_with_any_stretch(spark):
         assert [r.block for r in templates.blocks(df, stretch=stretch).orderBy("st").collect()] == want
 
 
+def test_ignored_regions_hide_no_others(spark):
+    rng = random.Random(5)
+    bed = [("a", 1, 10), ("a", 8, 20), ("a", 15, 30), ("a", 15, 30), ("a", 40, 50), ("b", 5, 9)]
+    bed += [("c", s, s + rng.randrange(60)) for s in (rng.randrange(200_000) for _ in range(3_000))]
+    got = rows(contigs.without_overlaps(spark.createDataFrame(bed, "contig string, start_pos long, end_pos long")), "contig", "start_pos")
+    kept = []
+    for r in sorted(bed):
+        if not any(k[0] == r[0] and r[1] <= k[2] and k[1] <= r[2] for k in kept):
+            kept.append(r)
+    assert got == kept and ("a", 15, 30) in got
+
+
 def test_regions_and_aliases(spark):
     bed = spark.createDataFrame([("c", 5, 5), ("c", 0, 10), ("c", 9, 20), ("c", 30, 40)], "contig string, start0 long, end long")
     kept = rows(contigs.without_overlaps(contigs.valid_regions(bed)).select("start_pos", "end_pos"), "start_pos")
