@@ -50,14 +50,15 @@ def check_clips(reads: DataFrame) -> DataFrame:
     return reads.withColumn("cigar", F.when(legal | (F.size(inner) < 3), F.col("cigar")).otherwise(F.raise_error(F.concat(F.lit("soft clip inside read "), F.col("qname")))))
 
 
-def aligned_bases(reads: DataFrame, params: CallParams = CallParams()) -> DataFrame:
+def aligned_bases(reads: DataFrame, params: CallParams = CallParams(), clips: bool = False) -> DataFrame:
     """One row for each base that a read aligns: pos, base (code), qual (capped), read_pos (in the read
     as sequenced: from the end for reverse reads) and trimmed. ``reads`` has contig, qname, pos
     (1-based), is_reverse, is_second, mapq, bs_strand, ori, cigar, seq and qual (array). Inserted and
-    clipped bases, and bases other than A, C, G and T, give no row; deletions neither."""
+    clipped bases, and bases other than A, C, G and T, give no row; deletions neither. With ``clips``
+    soft-clipped bases of any letter have rows too, without pos, marked by the column clipped."""
     left = F.when(F.col("is_second"), params.left_trim[1]).otherwise(params.left_trim[0])
     right = F.when(F.col("is_second"), params.right_trim[1]).otherwise(params.right_trim[0])
-    rows = check_clips(reads).withColumn("_event", F.explode(events(F.col("cigar")))).filter(F.col("_event.op").isin("M", "=", "X") & (F.col("_event.len") > 0))
+    rows = check_clips(reads).withColumn("_event", F.explode(events(F.col("cigar")))).filter(F.col("_event.op").isin("M", "=", "X", *["S"] * clips) & (F.col("_event.len") > 0))
     rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_event.len") - 1)))
     at, n = F.col("_event.read") + F.col("_i"), F.length("seq")
     rows = rows.withColumns({
@@ -67,13 +68,14 @@ def aligned_bases(reads: DataFrame, params: CallParams = CallParams()) -> DataFr
         "_q": F.get("qual", at),
     })
     # trims count from the ends of the read as it is stored
-    rows = rows.withColumns({"trimmed": (F.col("_at") < left) | (F.col("_at") >= n - right), "pos": (F.col("pos") + F.col("_event.ref") + F.col("_i")).cast("long")})
-    keep = ["contig", "qname", "pos", "base", "read_pos", "trimmed", "is_reverse", "is_second", "mapq", "bs_strand", "ori"]
-    return rows.filter(F.col("base").isNotNull()).select(*keep, F.least(F.col("_q"), F.lit(MAX_QUAL)).alias("qual"))
+    clipped = F.col("_event.op") == "S"
+    rows = rows.withColumns({"clipped": clipped, "trimmed": (F.col("_at") < left) | (F.col("_at") >= n - right), "pos": F.when(~clipped, F.col("pos") + F.col("_event.ref") + F.col("_i")).cast("long")})
+    keep = ["contig", "qname", "pos", "base", "read_pos", "trimmed", "is_reverse", "is_second", "mapq", "bs_strand", "ori", *["clipped"] * clips]
+    return rows.filter(F.col("base").isNotNull() | F.col("clipped")).select(*keep, F.least(F.col("_q"), F.lit(MAX_QUAL)).alias("qual"))
 
 
-def drop_mate_overlap(bases: DataFrame, reads: DataFrame) -> DataFrame:
-    """Where mates overlap, drop the overlapping bases of the one of the shorter reference span; of
+def mark_mate_overlap(bases: DataFrame, reads: DataFrame) -> DataFrame:
+    """Add overlap: where mates overlap, true for the overlapping bases of the one of the shorter reference span; of
     equal spans, of the lower (whole) mean quality; of equal qualities, of the forward mate."""
     extent = reads.select("contig", "qname", "is_reverse", F.col("pos").alias("a"), (F.col("pos") + span(F.col("cigar"), IN_REF)).alias("b"), F.floor(F.aggregate("qual", F.lit(0), lambda x, y: x + y) / F.size("qual")).alias("mean"))
     side = lambda r: F.max(F.when(F.col("is_reverse") == F.lit(r), F.struct("a", "b", "mean")))
@@ -84,7 +86,13 @@ def drop_mate_overlap(bases: DataFrame, reads: DataFrame) -> DataFrame:
     both = both.select("contig", "qname", loses.alias("is_reverse"), F.when(loses, F.col("f")).otherwise(F.col("r")).alias("kept"))
     over = both.select("contig", "qname", "is_reverse", F.col("kept.a").alias("_a"), F.col("kept.b").alias("_b"))
     marked = bases.join(over, ["contig", "qname", "is_reverse"], "left")
-    return marked.filter(F.col("_a").isNull() | (F.col("pos") < F.col("_a")) | (F.col("pos") >= F.col("_b"))).drop("_a", "_b")
+    inside = (F.col("pos") >= F.col("_a")) & (F.col("pos") < F.col("_b"))
+    return marked.withColumn("overlap", F.coalesce(inside, F.lit(False))).drop("_a", "_b")
+
+
+def drop_mate_overlap(bases: DataFrame, reads: DataFrame) -> DataFrame:
+    """``bases`` without those that :func:`mark_mate_overlap` marks."""
+    return mark_mate_overlap(bases, reads).filter(~F.col("overlap")).drop("overlap")
 
 
 def bisulfite_strand(tags: Column) -> Column:

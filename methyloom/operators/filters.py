@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,17 +56,38 @@ def filter_reason(params: CallParams = CallParams(), mate_contig: Column | None
 
 
 def read_filter_counts(reads: DataFrame, params: CallParams = CallParams()) -> DataFrame:
-    """Reads and bases of each reason."""
-    return reads.groupBy(filter_reason(params).alias("reason")).agg(F.count(F.lit(1)).alias("reads"), F.sum("l_qseq").cast("long").alias("bases"))
+    """Reads and bases of each reason. Mates' places are tested where ``reads`` has them (mate_contig,
+    pos, mate_pos); a read's bases are its l_qseq or the length of its seq."""
+    of = lambda name: F.col(name) if name in reads.columns else None
+    reason = filter_reason(params, of("mate_contig"), of("pos"), of("mate_pos"))
+    size = F.col("l_qseq") if "l_qseq" in reads.columns else F.length("seq")
+    return reads.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("reads"), F.sum(size).cast("long").alias("bases"))
+
+
+#: Boolean columns that say why a base is left out, and the reasons; clips and overlaps are cut off
+#: before trims are counted.
+BASE_MARKS = ("clipped", "overlap", "trimmed")
+
+
+def base_reason(params: CallParams = CallParams(), columns: Iterable[str] = ()) -> Column:
+    """Why a base is left out: clipped, overlap, trimmed, low_qual, or ``passed``. The first three come
+    from boolean columns of those names where ``columns`` has them."""
+    reason = F
+    for mark in BASE_MARKS:
+        if mark in columns:
+            reason = reason.when(F.col(mark), mark)
+    return reason.when(F.col("qual") < params.min_qual, "low_qual").otherwise("passed")
 
 
-def base_reason(params: CallParams = CallParams()) -> Column:
-    """Why a base is left out: trimmed, clipped, overlap, low quality, or ``passed``. The first three
-    come from boolean columns of those names where there are any."""
-    return F.when(F.col("qual") < params.min_qual, "low_qual").otherwise("passed")
+def base_filter_counts(bases: DataFrame, params: CallParams = CallParams()) -> DataFrame:
+    """Bases of each reason."""
+    return bases.groupBy(base_reason(params, bases.columns).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def passing_bases(bases: DataFrame, params: CallParams = CallParams()) -> DataFrame:
     """Bases of reads of enough mapping quality that themselves are good enough."""
     kept = bases.filter((F.col("mapq") >= params.min_mapq) & (F.col("qual") >= params.min_qual))
-    return kept.filter(~F.col("trimmed")) if "trimmed" in bases.columns else kept
+    for mark in BASE_MARKS:
+        if mark in bases.columns:
+            kept = kept.filter(~F.col(mark))
+    return kept

@@ -114,7 +114,7 @@ def a18_extents(spark, d):
 
 @query
 def f09_base_filter(spark, d):
-    return bases(spark, d).groupBy(filters.base_reason().alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    return filters.base_filter_counts(bases(spark, d))
 
 
 @query

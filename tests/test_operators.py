@@ -83,6 +83,22 @@ def test_last_tag_decides_strand(spark):
     assert [r[0] for r in df.select(cigar.bisulfite_strand(F.col("t"))).collect()] == [1, 2, 0]
 
 
+def test_read_counts_see_the_mates_places(spark):
+    flags = [(3, "c", "c", 5, 9), (3, "c", "d", 5, 9), (3, "c", "c", 9, 5), (3 + 16, "c", "c", 5, 9), (3 + 16, "c", "c", 9, 5)]
+    df = spark.createDataFrame([(f, 60, 100, "ACGT", *r) for f, *r in flags], "flag int, mapq int, isize int, seq string, contig string, mate_contig string, pos long, mate_pos long")
+    assert rows(filters.read_filter_counts(df), "reason") == [("mate_other_contig", 1, 4), ("orientation", 2, 8), ("passed", 2, 8)]
+
+
+def test_base_reasons_are_all_counted(spark):
+    df = reads(spark, {"qname": "a", "pos": 1, "cigar": "2S6M", "seq": "NNAAAAAA"}, {"qname": "a", "pos": 5, "cigar": "4M1S", "seq": "CCCCC", "rev": True, "second": True}, {"qname": "b", "pos": 50, "cigar": "3M", "seq": "GGG", "q": 2})
+    marked = cigar.mark_mate_overlap(cigar.aligned_bases(df, CallParams(left_trim=(3, 0)), clips=True), df)
+    got = dict(rows(filters.base_filter_counts(marked), "reason"))
+    assert got == {"clipped": 3, "overlap": 2, "trimmed": 4, "passed": 7}
+    assert filters.passing_bases(marked).count() == 7
+    untrimmed = cigar.mark_mate_overlap(cigar.aligned_bases(df, clips=True), df)
+    assert dict(rows(filters.base_filter_counts(untrimmed), "reason")) == {"clipped": 3, "overlap": 2, "low_qual": 3, "passed": 8}
+
+
 def test_filter_reasons_in_order(spark):
     flags = [(3, 60, 100), (3 + 256 + 4, 60, 0), (3 + 4 + 8, 60, 0), (3 + 8, 60, 0), (3 + 512 + 1024, 60, 0), (3 + 1024, 60, 0), (1, 60, 0), (3, 5, 0), (3, 60, 1001)]
     df = spark.createDataFrame(flags, "flag int, mapq int, isize int")
