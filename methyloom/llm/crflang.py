@@ -1,15 +1,19 @@
 """Language labels for the words of a text by a linear-chain conditional random field.
 
-A chain is a line, cut after ``CHAIN_WORDS`` words. A word's features are its lower-case form (lexicon),
-its prefixes and suffixes of up to three letters and its letter pairs and triples, hashed to
-``BUCKETS`` weights per language; label transitions have weights too. Training maximises the
-penalised likelihood of a bounded sample of labelled documents (``SAMPLE_DOCS`` rows, chosen by a hash
-of the row) by Adagrad on the exact gradient. Forward-backward gives each word's label
-probabilities, so code-switched text is labelled word by word; a document's language is the one of
-the largest mean probability over all its words, ties going to the first in order of name.
+A chain is a line, however long. A word is a run of letters (Unicode category L); its features are its
+lower-case form (lexicon), its prefixes and suffixes of up to three letters and its letter pairs and
+triples, hashed to ``BUCKETS`` weights per language; label transitions have weights too. Training
+maximises the penalised likelihood of a bounded sample of labelled documents by Adagrad on the exact
+gradient. Forward-backward gives each word's label probabilities, so code-switched text is labelled
+word by word; a document's language is the one of the largest mean probability over all its words,
+ties going to the first in order of name.
+
+**Sample.** Of the distinct (text, lang) that may be learned from, those of the least hashes, whole
+texts, up to ``SAMPLE_DOCS`` of them and ``SAMPLE_CHARS`` characters in all (one at least). The two
+bounds concern training alone, and are what the driver ever holds.
 
 A text without a letter, a null one included, is ``und`` with score 0; so is everything if there is
-nothing to learn from. Repeated and very long texts need no special care: chains are short.
+nothing to learn from. A null doc_id counts as held out. Rows that repeat a text get the same label.
 """
 
 from __future__ import annotations
@@ -24,20 +28,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import bounded_batches, chunks, over_texts, releasing
 
 BUCKETS = 1 << 17
-CHAIN_WORDS = 128
 SAMPLE_DOCS = 800
-SAMPLE_WORDS = 400_000
+SAMPLE_CHARS = 4_000_000
 EPOCHS = 14
 RATE = 0.4
 PENALTY = 1e-5
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
+CHUNK = 500_000
 
+# letters as Python's patterns have them, which take numerals such as \u00b2 or \u2460 for letters too
 _tokens = re.compile(r"[^\W\d_]+|\n")
 
 
+def letters_of(token: str) -> list[str]:
+    """The words of a token: its runs of letters, where it holds other characters too."""
+    if token.isascii() or token.isalpha():
+        return [token]
+    return "".join(c if c.isalpha() else " " for c in token).split()
+
+
 def features(word: str) -> list[int]:
     """Buckets of a lower-case word."""
     marked = f"<{word}>"
@@ -61,9 +73,7 @@ def chains(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
                 if starts[-1] != len(words):
                     starts.append(len(words))
             else:
-                if len(words) - starts[-1] == CHAIN_WORDS:
-                    starts.append(len(words))
-                words.append(token)
+                words += letters_of(token)
         if starts[-1] != len(words):
             starts.append(len(words))
         owner_counts.append(len(words) - before)
@@ -121,11 +131,6 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS) -> Model:
     labels = tuple(sorted(set(langs)))
     k = len(labels)
     words, owner, starts = chains(texts)
-    if len(words) > SAMPLE_WORDS:  # the sample's bound: whole chains up to it, spread over all texts
-        keep = np.sort(np.random.default_rng(7).permutation(len(starts) - 1)[: max(1, len(starts) * SAMPLE_WORDS // len(words))])
-        spans = [np.arange(starts[i], starts[i + 1]) for i in keep]
-        at = np.concatenate(spans)
-        words, owner, starts = [words[i] for i in at], owner[at], np.concatenate([[0], np.cumsum([len(x) for x in spans])])
     if not words:
         return Model((), np.zeros((BUCKETS, 0), np.float32), np.zeros((0, 0)))
     gold = np.array([labels.index(x) for x in langs])[owner]
@@ -159,15 +164,31 @@ def is_held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(True))
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Train on at most ``sample_docs`` rows with text and lang that are not held out."""
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Model:
+    """Train on the sample of the rows with text and lang that are not held out. A threshold that
+    about twice as many rows as needed pass keeps the others from being sorted; it grows until enough
+    pass or all do, so repeated texts never leave the sample empty."""
     rows = docs.filter(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    spread = F.xxhash64("text", "doc_id")
-    count = rows.count()
-    if count > 4 * sample_docs:  # so that few rows, not some of each partition, compete for the sample
-        rows = rows.filter(F.pmod(spread, F.lit(1 << 32)) < int(4 * sample_docs / count * (1 << 32)))
-    rows = rows.select("text", "lang", spread.alias("h")).orderBy("h", "text", "lang").limit(sample_docs).collect()
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+    rows = rows.select("text", "lang", F.xxhash64("text", "lang").alias("h"))
+    place = F.pmod("h", F.lit(1 << 32))
+    count, chosen, most = rows.count(), [], sample_docs
+    while count and len(chosen) < sample_docs:
+        most = min(2 * most, count)
+        some = rows if most == count else rows.filter(place < int(most / count * (1 << 32)))
+        chosen = some.groupBy("h").agg(F.min(F.length("text")).alias("n")).orderBy("h").limit(sample_docs).collect()
+        if most == count:
+            break
+        most *= 8
+    total, keys = 0, []
+    for r in chosen:
+        total += r["n"]
+        if keys and total > sample_chars:
+            break
+        keys.append(r["h"])
+    if not keys:
+        return train([], [])
+    texts = rows.filter(F.col("h").isin(keys)).groupBy("h").agg(F.min(F.struct("text", "lang")).alias("s")).orderBy("h").collect()
+    return train([r["s"]["text"] for r in texts], [r["s"]["lang"] for r in texts])
 
 
 class Labeller:
@@ -180,12 +201,15 @@ class Labeller:
 
     def scores(self, words: list[str]) -> np.ndarray:
         if len(self.index) > CACHE_WORDS:
-            self.index, self.table = {}, self.table[:0]
+            self.index = {}
         new = [word for word in dict.fromkeys(words) if word not in self.index]
         if new:
             flat, at = flat_features(new)
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-            self.table = np.concatenate([self.table, np.add.reduceat(self.model.weights[flat].astype(np.float64), at)])
+            added = np.add.reduceat(self.model.weights[flat].astype(np.float64), at)
+            while len(self.table) < len(self.index):
+                self.table = np.concatenate([self.table, np.empty((max(len(self.table), 4_096), len(self.model.labels)))])
+            self.table[len(self.index) - len(new) : len(self.index)] = added
         return self.table[np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))]
 
     def label(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, list[str], np.ndarray, np.ndarray]:
@@ -201,33 +225,37 @@ class Labeller:
         return [self.model.labels[b] if c else "und" for b, c in zip(best, count)], score, words, owner, gamma
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every row of ``docs`` (doc_id, text)."""
+def predicted(model: Model, text: str = "text") -> Column:
+    """(lang_pred, score) of a text column as a struct; only the texts go to Python."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(model)
-        for part in chunks(frames, "text", 500_000):
-            langs, score, *_ = labeller.label(list(part["text"]))
-            yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "held_out": part["held_out"], "lang_pred": langs, "score": score})
+        for column in columns:
+            parts = []
+            for part in chunks([column.to_frame("text")], "text", CHUNK):
+                langs, score, *_ = labeller.label(list(part["text"]))
+                parts.append(pd.DataFrame({"lang_pred": langs, "score": score}))
+            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": pd.Series([], dtype=str), "score": pd.Series([], dtype=float)})
+
+    whole = releasing(run)
 
-    rows = docs.select("doc_id", "text", is_held_out().alias("held_out"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    def label(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from whole(columns)
+
+    return F.pandas_udf(label, "lang_pred string, score double")(F.col(text))
 
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score added (columns of those names are replaced)."""
-    from .common import extended
-
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")])
-    schema = extended(docs.schema, lang_pred="string", score="double")
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "_said")]
+    bounded_batches(docs.sparkSession)
+    return docs.select(*[F.col(f"`{c}`") for c in kept], predicted(model).alias("_said")).select(*[F.col(f"`{c}`") for c in kept], "_said.lang_pred", "_said.score")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        labeller = Labeller(model)
-        for part in chunks(frames, "text", 500_000):
-            langs, score, *_ = labeller.label(list(part["text"]))
-            yield part.assign(lang_pred=langs, score=score)
 
-    return docs.mapInPandas(run, schema)
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every row of ``docs`` (doc_id, text)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", is_held_out().alias("held_out"))
+    return with_language(rows, model).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def label_words(docs: DataFrame, model: Model) -> DataFrame:
@@ -235,14 +263,14 @@ def label_words(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         labeller = Labeller(model)
-        for part in chunks(frames, "text", 500_000):
+        for part in chunks(frames, "text", CHUNK):
             _, _, words, owner, gamma = labeller.label(list(part["text"]))
             best = gamma.argmax(axis=1) if gamma.shape[1] else np.zeros(len(words), np.int64)
             made = [{"word": w, "lang": model.labels[b], "p": float(g[b])} if len(g) else {"word": w, "lang": "und", "p": 0.0} for w, b, g in zip(words, best, gamma)]
             bounds = np.searchsorted(owner, np.arange(len(part) + 1))
             yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "words": [made[a:b] for a, b in zip(bounds[:-1], bounds[1:])]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, words array<struct<word:string,lang:string,p:double>>")
+    return over_texts(docs.select("doc_id", "text"), run, "doc_id long, words array<struct<word:string,lang:string,p:double>>")
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -22,9 +22,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, extended
+from .common import chunks, extended, over_texts
 
-CACHE_ENTRIES = 400_000  # pieces remembered by a Python worker
+CACHE_ENTRIES = 200_000  # runs of at most 64 characters remembered by a Python worker, some 40 MB
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -112,14 +112,12 @@ class Codec:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        get, missed = self.known.get, self.missed
-        parts = []
-        for run in word_runs(text):
-            got = get(run)
-            if got is None:
-                got = missed(run)
-                get = self.known.get
-            parts.append(got)
+        runs = word_runs(text)
+        parts = list(map(self.known.get, runs))
+        at = -1
+        for _ in range(parts.count(None)):
+            at = parts.index(None, at + 1)
+            parts[at] = self.known.get(runs[at]) or self.missed(runs[at])
         return np.frombuffer(b"".join(parts), dtype="<u4")
 
     def decode(self, ids) -> bytes:
@@ -171,7 +169,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
         for part in chunks(frames, text):
             yield part.assign(**{ids: [made.encode(t or "").astype(np.int64) for t in part[text]]})
 
-    return docs.mapInPandas(run, schema)
+    return over_texts(docs, run, schema)
 
 
 def decode_ids(ids: DataFrame, ranks_path: str, pattern: str, column: str = "token_ids", to: str = "decoded") -> DataFrame:
@@ -185,7 +183,7 @@ def decode_ids(ids: DataFrame, ranks_path: str, pattern: str, column: str = "tok
         for part in frames:
             yield part.assign(**{to: [None if x is None else made.decode(x) for x in part[column]]})
 
-    return ids.mapInPandas(run, schema)
+    return over_texts(ids, run, schema)
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
@@ -202,4 +200,4 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
                 rows.append((doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return over_texts(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
