@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, dropped, stored, touched
+from .common import chunks, dropped, over_texts, stored, touched
 from .components import components
 
 SKETCH_CELLS = 1 << 24  # a byte each; about a tenth of the shingles makes a sharp order
@@ -46,8 +46,6 @@ SMALL_ENTRY = 24  # members
 BLOCK = 256  # classes compared at once
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,22 +61,11 @@ for _upper in range(65, 91):
     _BYTES[_upper] = _BYTES[_upper + 32]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
-    if base not in _powers or len(_powers[base]) < n:
-        steps = np.full(max(n, 1 << 20), base, np.uint64)
-        steps[0] = 1
-        _powers[base] = np.multiply.accumulate(steps)
-    return _powers[base][:n]
-
-
 def word_hashes(texts: list[str | None], between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of all texts (A-Z lower-cased; ``between`` says for each byte whether
     it parts words: space and \\t to \\r by default), and where each text's words begin; one entry
-    more than texts."""
+    more than texts. A word's hash is the sum of random values of its (byte, place) pairs, so words
+    of regular patterns collide no more than others."""
     coded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b" ".join([*coded, b""]), np.uint8)
     if not len(data):
@@ -87,9 +74,12 @@ def word_hashes(texts: list[str | None], between: np.ndarray = _SPACE) -> tuple[
     before = np.concatenate([[True], space[:-1]])
     start = np.nonzero(~space & before)[0]
     end = np.nonzero(space & ~before)[0]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTES[data] * _power(_BASE, len(data)))])
-    words = (total[end] - total[start]) * _power(_INVERSE, len(data))[start]
-    words = mix(words + (end - start).astype(np.uint64) * _M1)
+    size = end - start
+    inside = ~space
+    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(_BYTES[data[inside]] + place.astype(np.uint64) * _M2))])
+    upto = np.cumsum(size)
+    words = mix(total[upto] - total[upto - size] + size.astype(np.uint64) * _M1)
     at = np.concatenate([[0], np.cumsum([len(x) + 1 for x in coded])])
     return words, np.searchsorted(start, at)
 
@@ -146,7 +136,7 @@ def frequency_sketch(docs: DataFrame, width: int, cells: int = SKETCH_CELLS, blo
         coded = np.where(held <= 128, held, np.minimum(128 + 6 * np.log2(np.maximum(held, 128) / 128), 255)).astype(np.uint8)
         yield pd.DataFrame({"block": [key[0]], "counts": [coded.tobytes()], "total": [int(held.sum())]})
 
-    rows = docs.select("text").mapInPandas(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary, total long").collect()
+    rows = over_texts(docs.select("text"), count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary, total long").collect()
     found = np.zeros((blocks, each), np.uint8)
     for r in rows:
         found[r["block"]] = np.frombuffer(r["counts"], np.uint8)
@@ -180,7 +170,7 @@ def _sets(docs: DataFrame, width: int, sketch: np.ndarray, load: int, percent: i
                 rows.append((doc_id, len(own), class_id(own) if len(own) else 0, keys, match))
             yield pd.DataFrame(rows, columns=["doc_id", "n", "cid", "keys", "l"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, cid long, keys array<long>, l int")
+    return over_texts(docs.select("doc_id", "text"), run, "doc_id long, n long, cid long, keys array<long>, l int")
 
 
 def _texts_of(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
@@ -192,7 +182,7 @@ def _texts_of(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
             yield pd.DataFrame({"cid": [class_id(x) if len(x) else 0 for x in sets], "own": [x.astype(np.int64) for x in sets]})
 
     rows = touched(docs.select("doc_id", "text"), wanted, "doc_id").join(wanted, "doc_id", "left_semi")
-    return rows.select("text").mapInPandas(run, "cid long, own array<long>")
+    return over_texts(rows.select("text"), run, "cid long, own array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

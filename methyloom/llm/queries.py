@@ -33,7 +33,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pfpdedup.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return pfpdedup.digests(documents(spark, sf_dir))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
