@@ -8,9 +8,11 @@ solved by successive shortest paths, and each arc's flow is filled with whole bl
 The few bytes that whole blocks cannot split are evened out by single moves and swaps of blocks. The
 table of moved blocks, no larger, is broadcast; all else is one pass over the documents.
 
-A text whose copies together exceed half a shard cannot stay whole beside equal sizes: its rows are
-dealt to bins by doc_id instead. There are fewer than ``2 * shards`` such texts, so their list is
-small too. Null texts have no bytes and count as one text; sizes are UTF-8 bytes plus 1.
+Copies of one text always stay together. A text whose copies hold more than an ``OWN_BIN``-th of a
+shard has a bin of its own (there are fewer than ``OWN_BIN * shards`` such texts); if they hold more than
+a whole shard's share, that shard holds nothing else and the others share the rest equally. Null
+texts have no bytes and count as one text; sizes are UTF-8 bytes plus 1. Rows that repeat a doc_id, or
+lack one, are rows like any others.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 from .common import text_size
 
 BINS = 1024
-SLOT_BINS = 256
+OWN_BIN = 8
+SLOT_ROWS = 20_000  # ranked in one window, about
+FILE_BYTES = 64 << 20  # of text in one file, about
 
 
 def min_cost_flow(arcs: list[tuple[int, int, int, int]], n: int, source: int, sink: int) -> dict[tuple[int, int], int]:
@@ -70,10 +74,25 @@ def transfers(old: list[int], new: list[int]) -> dict[tuple[int, int], int]:
     return {(a, b - n): units for (a, b), units in flow.items() if a < n and n <= b < 2 * n and a != b - n}
 
 
+def goals(sizes: dict[tuple[int, int], int], shards: int) -> list[int]:
+    """Bytes that each shard should hold: equal ones, but for shards with a block that exceeds an equal
+    share: such a block fills its shard, and the others share what is left."""
+    goal, left, free = [0] * shards, sum(sizes.values()), set(range(shards))
+    for (s, _), size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        if len(free) < 2 or size <= left / len(free):
+            break
+        t = s if s in free else min(free)
+        goal[t] = size
+        left -= size
+        free.remove(t)
+    for k, s in enumerate(sorted(free)):
+        goal[s] = left // len(free) + (k < left % len(free))
+    return goal
+
+
 def move_blocks(sizes: dict[tuple[int, int], int], shards: int, rounds: int = 4_000) -> dict[tuple[int, int], int]:
     """New shard of each block (old shard, bin) that moves."""
-    total = sum(sizes.values())
-    goal = [total // shards + (s < total % shards) for s in range(shards)]
+    goal = goals(sizes, shards)
     held = [0] * shards
     for (s, _), size in sizes.items():
         held[s] += size
@@ -131,21 +150,24 @@ def reshard(docs: DataFrame, shards: int = 16, old_shard: Column | None = None,
     rows = rows.withColumn("old_shard", (F.pmod("_key", F.lit(shards)) if old_shard is None else old_shard).cast("int"))
     groups = rows.groupBy("old_shard", "_key").agg(F.sum("size").alias("bytes"))
     total = rows.agg(F.sum("size")).first()[0] or 0
-    heavy = [r["_key"] for r in groups.filter(F.col("bytes") > total / shards / 2).select("_key").distinct().collect()]
+    heavy = sorted(r["_key"] for r in groups.filter(F.col("bytes") > total / shards / OWN_BIN).select("_key").distinct().collect())
     of_text = F.pmod(F.xxhash64(F.col("_key"), F.lit(1)), F.lit(bins))
-    of_row = F.pmod(F.xxhash64(F.col("doc_id"), F.col("_key"), F.lit(2)), F.lit(bins))
-    rows = rows.withColumn("_bin", F.when(F.col("_key").isin(heavy), of_row).otherwise(of_text).cast("int") if heavy else of_text.cast("int"))
+    own_bin = F.array_position(F.lit(heavy).cast("array<bigint>"), F.col("_key")) + bins - 1
+    rows = rows.withColumn("_bin", (F.when(own_bin >= bins, own_bin).otherwise(of_text) if heavy else of_text).cast("int"))
     sizes = {(r["old_shard"], r["_bin"]): r["bytes"] for r in rows.groupBy("old_shard", "_bin").agg(F.sum("size").alias("bytes")).collect()}
     moves = spark.createDataFrame([(s, b, t) for (s, b), t in move_blocks(sizes, shards).items()], "old_shard int, _bin int, _to int")
     placed = rows.join(F.broadcast(moves), ["old_shard", "_bin"], "left").withColumn("shard", F.coalesce("_to", "old_shard"))
     return placed.withColumn("moved", F.col("_to").isNotNull()).select(*docs.columns, *own[:-2])
 
 
-def with_slots(rows: DataFrame, bins: int = SLOT_BINS) -> DataFrame:
-    """Number the rows of each shard from 0 without gaps: rows are ranked inside hash bins, and a
-    bin's first number is the sum of the counts of the bins before it (shards * bins small counts)."""
+def with_slots(rows: DataFrame, bins: int | None = None) -> DataFrame:
+    """Number the rows of each shard from 0 without gaps: rows are ranked inside hash bins of about
+    ``SLOT_ROWS`` rows, and a bin's first number is the sum of the counts of the bins before it."""
     from pyspark.sql import Window as W
 
+    if bins is None:
+        largest = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        bins = max(16, -(-largest // SLOT_ROWS))
     rows = rows.withColumn("_slot_bin", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(bins)).cast("int"))
     counts = rows.groupBy("shard", "_slot_bin").agg(F.count(F.lit(1)).alias("_n"))
     first = counts.withColumn("_first", F.sum("_n").over(W.partitionBy("shard").orderBy("_slot_bin")) - F.col("_n")).drop("_n")
@@ -156,9 +178,10 @@ def with_slots(rows: DataFrame, bins: int = SLOT_BINS) -> DataFrame:
 def rewrite(spark: SparkSession, placed: DataFrame, path: str) -> list[int]:
     """Write the files of every shard that gained or lost rows below ``path`` (``shard=N`` folders)
     and return those shards; the files of the others need no change."""
-    moved = placed.filter("moved").select("old_shard", "shard").distinct().collect()
-    affected = sorted({s for r in moved for s in (r["old_shard"], r["shard"])})
+    found = placed.groupBy("old_shard", "shard", "moved").agg(F.sum("size").alias("bytes")).collect()
+    affected = sorted({s for r in found if r["moved"] for s in (r["old_shard"], r["shard"])})
     if affected:
         own = placed.filter(F.col("shard").isin(affected))
-        own.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(8))).write.mode("overwrite").partitionBy("shard").parquet(path)
+        parts = max(8, max(sum(r["bytes"] for r in found if r["shard"] == s) for s in affected) // FILE_BYTES)
+        own.repartition("shard", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts))).write.mode("overwrite").partitionBy("shard").parquet(path)
     return affected
