@@ -4,19 +4,23 @@
 matched leftmost without overlaps and dropped if too short.
 
 **Novelty.** A candidate is a string of 12 or more code characters, with a digit and a letter, in a
-sensitive context: one of ``CONTEXT_WORDS`` stands in the ``NEAR`` characters before it, or on its
-line. Its novelty is the marginal size of its compressed form: compressed bytes of the surrounding
-text with the candidate less those without it, the compressor being primed with a dictionary of
-usual identifiers. Words, paths and identifiers repeat what the dictionary or the surroundings hold
-and add little; keys add nearly their own length in bytes. Candidates of ``MIN_RATIO`` compressed
-bytes a character or more are reported as kind ``novel``, unless a form's span already covers them.
-
-Null texts count as empty, without spans. Spans are code points, ends exclusive.
+sensitive context: one of ``CONTEXT_WORDS`` stands in the ``NEAR`` characters before it, or before it on
+its line, however long. Its novelty is the marginal size of its compressed form: compressed bytes of the
+surrounding text with the candidate less those without it, the compressor being primed with a
+dictionary of usual identifiers. Words, paths and identifiers repeat what the dictionary or the
+surroundings hold and add little; random strings can't be coded in less than the logarithm of the
+number of characters they choose from. Candidates that add ``MIN_SHARE`` of that or more are reported
+as kind ``novel``, unless a form's span covers them whole.
+
+Null texts count as empty, without spans. Spans are code points, ends exclusive. Equal texts have equal
+spans; rows that repeat a doc_id each have their own.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -24,7 +28,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import chunks
+from .common import chunks, over_texts
 
 # fixed values: the forms of the contract
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -33,11 +37,11 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 
 NEAR = 48
-MIN_RATIO = 0.8
+MIN_SHARE = 1.0
 LEVEL = 19
 CONTEXT_WORDS = ("key", "secret", "token", "passw", "auth", "credential", "private", "bearer", "signature", "session", "login", "pwd", "salt", "cert")
 _context = re.compile("|".join(CONTEXT_WORDS), re.ASCII | re.IGNORECASE)
-_candidate = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,80}[0-9])(?=[0-9+/_=-]{0,80}[A-Za-z])[A-Za-z0-9+/_=-]{12,}")
+_candidate = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{12,}")
 
 #: What surrounds secrets in code and settings: dictionary content, most usual last.
 IDENTIFIERS = " ".join(
@@ -79,17 +83,27 @@ def novelty(text: str, start: int, end: int) -> float:
     return (compressed(before + after + text[start:end]) - compressed(before + after)) / (end - start)
 
 
+def entropy(text: str) -> float:
+    """Bytes a character that a random string over the same kinds of characters takes."""
+    if all(c in "0123456789abcdef" for c in text) or all(c in "0123456789ABCDEF" for c in text):
+        return 0.5
+    kinds = (26 * any(c.islower() for c in text), 26 * any(c.isupper() for c in text), 10 * any(c.isdigit() for c in text), 2 * any(c in "+/_=-" for c in text))
+    return math.log2(sum(kinds)) / 8
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates in sensitive contexts that the fixed forms don't cover and that don't compress."""
-    if _context.search(text) is None:
+    words = [m.span() for m in _context.finditer(text)]
+    if not words:
         return []
-    spans = []
+    ends, spans = [end for _, end in words], []
     for m in _candidate.finditer(text):
         a, b = m.span()
-        if any(s < b and a < e for s, _, e in base):
+        last = bisect.bisect_right(ends, a) - 1  # of the context words before the candidate
+        if last < 0 or any(s <= a and b <= e for s, _, e in base):
             continue
-        line = max(text.rfind("\n", 0, a) + 1, a - 4 * NEAR)
-        if _context.search(text, min(line, max(0, a - NEAR)), a) and novelty(text, a, b) >= MIN_RATIO:
+        at = words[last][0]
+        if (at >= a - NEAR or "\n" not in text[at:a]) and novelty(text, a, b) >= MIN_SHARE * entropy(text[a:b]):
             spans.append((a, 3, b))
     return spans
 
@@ -112,4 +126,4 @@ def scan(docs: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"])
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
+    return over_texts(docs.select("doc_id", "text"), run, "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
