@@ -12,7 +12,8 @@ coefficients give the luminance thumbnail (an eighth of the size), its average h
 
 Any baseline file of one or several interleaved or single-component scans is read (8-bit precision,
 Huffman coding, any sampling). Null media give null features. Anything else, cut or damaged files
-included, gives null features and a message in ``error``.
+included, gives null features and a message in ``error``; sizes that the scan's bytes can't fill are
+refused before memory is taken for them. Equal media give equal features; rows are kept as they are.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, extended
+from .common import chunks, extended, over_texts
 
 INTERVAL = 8  # blocks between restart markers
 
@@ -209,11 +210,17 @@ class Frame:
             elif marker == 0xDB:
                 while body:
                     n = 128 if body[0] >> 4 else 64
+                    if len(body) <= n:
+                        raise ValueError("a quantisation table is cut off")
                     self.quant[body[0] & 15] = np.frombuffer(body[1 : n + 1], ">u2" if n == 128 else np.uint8).astype(np.int64)
                     body = body[n + 1 :]
             elif marker == 0xC4:
                 while body:
                     n = 17 + sum(body[1:17])
+                    if len(body) < max(n, 17) or n > 17 + 256:
+                        raise ValueError("a Huffman table is cut off")
+                    if any(code >> length for _, code, length in canonical(body[1:n])[0]):
+                        raise ValueError("a Huffman table has too many codes")
                     self.huffman[body[0]] = body[1:n]
                     body = body[n:]
             elif marker == 0xDD:
@@ -296,6 +303,9 @@ def decode_lanes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, count: n
     return coef, sound
 
 
+_DAMAGE = (ValueError, IndexError, KeyError, StopIteration, struct.error, OverflowError)
+
+
 def decode_images(files: list[bytes | None]) -> list[dict | str | None]:
     """For each file: None, what is wrong with it, or a dict of width, height, thumbnail (luminance,
     uint8), comment and ``coefficients`` (of the first component, zigzag order, block rows)."""
@@ -314,70 +324,86 @@ def decode_images(files: list[bytes | None]) -> list[dict | str | None]:
                 p = next(p for p in frame.parts if p[0] == part_id)
                 slots += [(part_id, huffman[dc], huffman[16 | ac])] * (p[1] * p[2] if len(chosen) > 1 else 1)
             key = (tuple(slots), restart, len(chosen) > 1)
-        except (ValueError, IndexError, KeyError, StopIteration, struct.error) as error:
+        except _DAMAGE as error:
             out[i] = f"unreadable: {error}"
             continue
         groups.setdefault(key, []).append((i, frame, s))
-    for (slots, restart, interleaved), members in groups.items():
-        parts, start, stop, count, ranges = [], [], [], [], []
-        at = 0
-        for i, frame, s in members:
-            _, _, _, a, b = frame.scans[s]
-            scan = np.frombuffer(frame.data, np.uint8)[a:b]
-            if interleaved:
-                h, v = max(p[1] for p in frame.parts), max(p[2] for p in frame.parts)
-                units = -(-frame.width // (8 * h)) * -(-frame.height // (8 * v))
-            else:
-                rows, cols = frame.blocks(0)
-                units = rows * cols
-            mark = np.nonzero(scan[:-1] == 255)[0] if len(scan) else np.empty(0, np.int64)
-            rst = mark[(scan[mark + 1] & 0xF8) == 0xD0]
-            lanes = -(-units // restart) if restart else 1
-            if len(rst) != lanes - 1:
-                out[i] = "unreadable: restart markers are missing"
-                continue
-            drop = np.ones(len(scan), bool)
-            drop[mark[scan[mark + 1] == 0] + 1] = False
-            drop[rst] = drop[rst + 1] = False
-            cuts = np.concatenate([[0], np.cumsum(drop)])[np.concatenate([[0], rst, [len(scan)]])] + at
-            parts.append(scan[drop])
-            at += len(parts[-1])
-            ranges.append((i, frame, len(start), lanes, units))
-            start += cuts[:-1].tolist()
-            stop += cuts[1:].tolist()
-            per = restart or units
-            count += [per * len(slots)] * (lanes - 1) + [(units - per * (lanes - 1)) * len(slots)]
-        if not ranges:
-            continue
-        counts = np.array(count)
-        coef, sound = decode_lanes(np.concatenate(parts), np.array(start), np.array(stop), counts, [x[1:] for x in slots])
-        luma_slots = [k for k, x in enumerate(slots) if x[0] == slots[0][0] or x[0] == members[0][1].parts[0][0]]
-        luma_slots = [k for k in luma_slots if slots[k][0] == members[0][1].parts[0][0]]
-        base = np.concatenate([[0], np.cumsum(counts)])
-        for i, frame, lane, lanes, units in ranges:
-            if not sound[lane : lane + lanes].all():
-                out[i] = "unreadable: the scan is damaged"
-                continue
-            own = coef[base[lane] : base[lane + lanes]].reshape(units, len(slots), 64)[:, luma_slots]
-            per = restart or units
-            diff = own[:, :, 0].astype(np.int64)
-            total = np.cumsum(diff.ravel()).reshape(diff.shape)
-            before = np.concatenate([[0], total[:, -1]])[(np.arange(units) // per) * per]
-            own[:, :, 0] = total - before[:, None]
-            if interleaved:
-                _, h, v, _ = frame.parts[0]
-                wide = -(-frame.width // (8 * max(p[1] for p in frame.parts)))
-                own = own.reshape(-1, wide, v, h, 64).transpose(0, 2, 1, 3, 4).reshape(units // wide * v, wide * h, 64)
-            else:
-                own = own.reshape(*frame.blocks(0), 64)
-            rows, cols = frame.blocks(0)
-            own = own[:rows, :cols]
-            step = frame.quant.get(frame.parts[0][3], np.ones(64, np.int64))[0]
-            thumb = np.clip(np.floor(own[:, :, 0] * step / 8 + 128.5), 0, 255).astype(np.uint8)
-            out[i] = {"width": frame.width, "height": frame.height, "thumbnail": thumb, "comment": frame.comment, "coefficients": own}
+    for key, members in groups.items():
+        try:
+            _decode_group(key, members, out)
+        except _DAMAGE:
+            for member in members:  # one damaged file must not take the others of its layout with it
+                try:
+                    _decode_group(key, [member], out)
+                except _DAMAGE as error:
+                    out[member[0]] = f"unreadable: {error}"
     return out
 
 
+def _decode_group(key: tuple, members: list[tuple[int, Frame, int]], out: list) -> None:
+    """Decode files (number, frame, scan) of one layout in lockstep into ``out``."""
+    slots, restart, interleaved = key
+    parts, start, stop, count, ranges = [], [], [], [], []
+    at = 0
+    for i, frame, s in members:
+        _, _, _, a, b = frame.scans[s]
+        scan = np.frombuffer(frame.data, np.uint8)[a:b]
+        if interleaved:
+            h, v = max(p[1] for p in frame.parts), max(p[2] for p in frame.parts)
+            units = -(-frame.width // (8 * h)) * -(-frame.height // (8 * v))
+        else:
+            rows, cols = frame.blocks(0)
+            units = rows * cols
+        mark = np.nonzero(scan[:-1] == 255)[0] if len(scan) else np.empty(0, np.int64)
+        rst = mark[(scan[mark + 1] & 0xF8) == 0xD0]
+        if 2 * units * len(slots) > 8 * len(scan):  # a block takes two codes at least
+            out[i] = "unreadable: the scan is too short for the size"
+            continue
+        lanes = -(-units // restart) if restart else 1
+        if len(rst) != lanes - 1:
+            out[i] = "unreadable: restart markers are missing"
+            continue
+        drop = np.ones(len(scan), bool)
+        drop[mark[scan[mark + 1] == 0] + 1] = False
+        drop[rst] = drop[rst + 1] = False
+        cuts = np.concatenate([[0], np.cumsum(drop)])[np.concatenate([[0], rst, [len(scan)]])] + at
+        parts.append(scan[drop])
+        at += len(parts[-1])
+        ranges.append((i, frame, len(start), lanes, units))
+        start += cuts[:-1].tolist()
+        stop += cuts[1:].tolist()
+        per = restart or units
+        count += [per * len(slots)] * (lanes - 1) + [(units - per * (lanes - 1)) * len(slots)]
+    if not ranges:
+        return
+    counts = np.array(count)
+    coef, sound = decode_lanes(np.concatenate(parts), np.array(start), np.array(stop), counts, [x[1:] for x in slots])
+    luma_slots = [k for k, x in enumerate(slots) if x[0] == slots[0][0] or x[0] == members[0][1].parts[0][0]]
+    luma_slots = [k for k in luma_slots if slots[k][0] == members[0][1].parts[0][0]]
+    base = np.concatenate([[0], np.cumsum(counts)])
+    for i, frame, lane, lanes, units in ranges:
+        if not sound[lane : lane + lanes].all():
+            out[i] = "unreadable: the scan is damaged"
+            continue
+        own = coef[base[lane] : base[lane + lanes]].reshape(units, len(slots), 64)[:, luma_slots]
+        per = restart or units
+        diff = own[:, :, 0].astype(np.int64)
+        total = np.cumsum(diff.ravel()).reshape(diff.shape)
+        before = np.concatenate([[0], total[:, -1]])[(np.arange(units) // per) * per]
+        own[:, :, 0] = total - before[:, None]
+        if interleaved:
+            _, h, v, _ = frame.parts[0]
+            wide = -(-frame.width // (8 * max(p[1] for p in frame.parts)))
+            own = own.reshape(-1, wide, v, h, 64).transpose(0, 2, 1, 3, 4).reshape(units // wide * v, wide * h, 64)
+        else:
+            own = own.reshape(*frame.blocks(0), 64)
+        rows, cols = frame.blocks(0)
+        own = own[:rows, :cols]
+        step = frame.quant.get(frame.parts[0][3], np.ones(64, np.int64))[0]
+        thumb = np.clip(np.floor(own[:, :, 0] * step / 8 + 128.5), 0, 255).astype(np.uint8)
+        out[i] = {"width": frame.width, "height": frame.height, "thumbnail": thumb, "comment": frame.comment, "coefficients": own}
+
+
 def average_hash(thumb: np.ndarray) -> str:
     """64 bits: whether each of 8x8 area means of the thumbnail exceeds their mean; small thumbnails
     repeat their rows and columns."""
@@ -405,7 +431,7 @@ def store_texts(docs: DataFrame, text: str = "text", media: str = "media") -> Da
         for part in chunks(frames, text, 400_000):
             yield part.assign(**{media: encode_payloads([(t or "").encode() for t in part[text]])})
 
-    return docs.mapInPandas(run, schema)
+    return over_texts(docs, run, schema)
 
 
 def media_features(df: DataFrame, media: str = "media") -> DataFrame:
@@ -420,7 +446,7 @@ def media_features(df: DataFrame, media: str = "media") -> DataFrame:
             more = more.astype({"width": "Int32", "height": "Int32"})
             yield pd.concat([part[kept], more], axis=1)
 
-    return df.select(*[F.col(f"`{c}`") for c in [*kept, media]]).mapInPandas(run, schema)
+    return over_texts(df.select(*[F.col(f"`{c}`") for c in [*kept, media]]), run, schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -437,4 +463,4 @@ def digests(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return store_texts(docs.select("doc_id", "text")).select("doc_id", "media").mapInPandas(run, schema)
+    return over_texts(store_texts(docs.select("doc_id", "text")).select("doc_id", "media"), run, schema)
