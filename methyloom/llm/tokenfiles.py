@@ -29,10 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, fresh_path
+from .common import chunks, fresh_path, over_texts
 from .segbpe import word_runs
 
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 300_000  # runs remembered by a Python worker, some 60 MB
 NO_ID = np.iinfo(np.int64).min
 
 _encoders: dict[str, RunEncoder] = {}
@@ -46,7 +46,6 @@ class RunEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
@@ -139,7 +138,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 2, pat
                 fs.move(f"{folder}/.{mine}-{name}", f"{folder}/{name}")
             yield pd.DataFrame({"number": [number], "n_docs": [n_docs], "n_ids": [n_ids]})
 
-    rows = sorted(dealt.mapInPandas(run, "number long, n_docs long, n_ids long").collect())
+    rows = sorted(over_texts(dealt, run, "number long, n_docs long, n_ids long").collect())
     bases = np.concatenate([[0], np.cumsum([r["n_ids"] for r in rows], dtype=np.int64)]) if rows else []
     parts = tuple((r["number"], r["n_docs"], r["n_ids"], int(base)) for r, base in zip(rows, bases))
     return TokenFiles(path, encoder(tokenizer_path).dtype.str, parts)
@@ -178,4 +177,4 @@ def read_token_files(spark: SparkSession, files: TokenFiles, rows: int = 5_000,
                         part["token_ids"] = [x.astype(np.int64) for x in own]
                     yield part
 
-    return listed.repartition(len(files.parts), "number").mapInPandas(run, schema)
+    return over_texts(listed.repartition(len(files.parts), "number"), run, schema)
