@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -16,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from methyloom.llm import adaptjoin, cgkdecon, crflang, jpegmedia, linedup, pfpdedup, reshard, secretscan, segbpe, tokenfiles
+from methyloom.llm import adaptjoin, cgkdecon, crflang, jpegmedia, linedup, pfpdedup, queries, reshard, secretscan, segbpe, tokenfiles
 from methyloom.llm.components import components
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -83,6 +84,29 @@ def test_media_columns(spark):
     assert jpegmedia.digests(docs(spark, [])).count() == 0
 
 
+def test_damaged_images_give_messages():
+    rng = random.Random(11)
+    base = jpegmedia.encode_payloads([bytes(rng.randrange(256) for _ in range(n)) for n in (0, 10, 500, 3000)])
+    for _ in range(400):
+        files = []
+        for _ in range(3):
+            x = bytearray(rng.choice(base))
+            for _ in range(rng.randrange(1, 4)):
+                at = rng.randrange(len(x))
+                x[at : at + rng.choice([0, 1, 9, len(x)])] = bytes(rng.randrange(256) for _ in range(rng.randrange(4)))
+                x = x or bytearray(b"\xff")
+            files.append(bytes(x))
+        assert all(isinstance(r, dict) or r.startswith("unreadable") for r in jpegmedia.decode_images(files))
+    part = lambda m, body: b"\xff" + bytes([m]) + (len(body) + 2).to_bytes(2, "big") + body
+    good = base[2]
+    at = good.index(b"\xff\xc4")
+    bad = [good[:at] + part(0xC4, b"\0" + bytes([0, 200] + [0] * 14)) + good[at:], good[:at] + part(0xC4, b"\0" + bytes([3] + [0] * 15) + b"abc") + good[at:], good.replace(b"\xff\xdb\0\x43", b"\xff\xdb\0\x03", 1)]
+    size = good.index(b"\xff\xc0") + 5
+    bad.append(good[:size] + b"\xff\xff\xff\xff" + good[size + 4 :])  # 65,535 by 65,535
+    got = jpegmedia.decode_images([*bad, good])
+    assert all(isinstance(r, str) and r.startswith("unreadable") for r in got[:4]) and isinstance(got[4], dict)
+
+
 # 2 ---------------------------------------------------------------------------------------------------
 
 WORDS = {"en": "the and of with that from this water house green", "de": "der und von mit dass aus dieses wasser haus grün", "fr": "le et de avec que depuis cette eau maison vert"}
@@ -126,6 +150,24 @@ def test_language_id(spark):
     assert (nothing.lang_pred, nothing.score) == ("und", 0.0)
 
 
+def test_letters_are_letters():
+    assert crflang.chains(["\u00b2 \u00bd \u2460 \u2167", "a\u00b2 \u2460x"])[0] == ["a", "x"]
+
+
+def test_chains_are_whole_lines():
+    words, _, starts = crflang.chains(["a " * 1000 + "\nb"])
+    assert len(words) == 1001 and starts.tolist() == [0, 1000, 1001]
+
+
+def test_sample_of_repeated_rows(spark):
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("the house of water").alias("text"), F.lit("en").alias("lang"))
+    model = crflang.fit(df, sample_docs=50)
+    assert model.labels == ("en",)
+    moved = crflang.fit(df.withColumn("doc_id", F.col("doc_id") + 5_000_000), sample_docs=50)
+    assert np.array_equal(model.weights, moved.weights)  # doc_id chooses nothing but the held-out rows
+    assert crflang.fit(df.withColumn("text", F.concat("text", F.lit(" "), F.col("doc_id").cast("string"))), 50, 100).labels == ("en",)
+
+
 # 3 ---------------------------------------------------------------------------------------------------
 
 
@@ -182,6 +224,18 @@ def test_links_are_all_counted(spark, monkeypatch, near, block):
     assert [got[i].n_links for i in range(len(texts))] == want and min(want[:4]) >= 3
 
 
+def thue_morse(k, first):
+    return "".join("ab"[(bin(i).count("1") + first) % 2] for i in range(1 << k))
+
+
+def test_words_of_regular_patterns_differ(spark):
+    one, two = thue_morse(10, 0), thue_morse(10, 1)
+    got = by_id(adaptjoin.jaccard_components(docs(spark, [one, two, f"{one} x y", f"{two} x y"]), 3, 90))
+    assert [got[i].component_id for i in range(4)] == [0, 1, 2, 3]
+    text = [one + thue_morse(10, 1) + "q" * 50, two + thue_morse(10, 0) + "r" * 50]
+    assert [r.n_removed for r in pfpdedup.remove_repeats(docs(spark, text), 2048).collect()] == [0, 0]
+
+
 def test_components_of_a_long_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(5, 5), (3, 2), (200, 100)], "a long, b long")
     got = {r.id: r.component for r in components(df).collect()}
@@ -220,9 +274,31 @@ def test_line_dedup_of_long_single_lines(spark):
     assert {i: r.n_removed for i, r in got.items() if r.n_removed} == {1: 1, 2: 1, 3: 1, 11: 1, 13: 2}
 
 
-def test_interval_levels(spark):
-    got = {(r.p.doc_id, r.p.line): r.level for r in linedup.interval_levels(docs(spark, ["a\nb\nc\nd\ne", "a\nb\nc\nd\nx"])).collect()}
-    assert got[0, 0] == 2 and got[0, 2] == 1 and got[1, 3] == 0 and (0, 4) not in got
+def test_doubling_goes_on_until_nothing_repeats(spark):
+    texts = ["a\nb\nc\nd\ne", "a\nb\nc\nd\nx"]
+    got = {size: {(r.p.doc_id, r.p.line) for r in table.collect()} for size, table in linedup.intervals(docs(spark, texts))}
+    assert list(got) == [1, 2, 4, 8] and not got[8]
+    assert got[4] == {(0, 0), (1, 0)} and got[2] == {(d, k) for d in (0, 1) for k in range(3)} and len(got[1]) == 8
+    later = {(r.p.doc_id, r.p.line): r["size"] for r in linedup.later_copies(docs(spark, texts)).collect()}
+    assert later == {(1, 0): 4, (1, 1): 2, (1, 2): 2}
+
+
+def test_line_dedup_sql(spark, tmp_path):
+    rng = random.Random(44)
+    wide = " ".join(f"w{k}" for k in range(30))
+    texts = [None, "", "x\t y", wide] + ["\n".join(rng.choice([*"abcdefg", wide, " " + wide, "é" * 100]) for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    want = sql_rows(spark, tmp_path, docs(spark, texts), linedup.DIGEST_SQL)
+    got = {r.doc_id: r.asDict() for r in linedup.digests(docs(spark, texts)).collect()}
+    assert got == want
+
+
+def sql_rows(spark, path, df, sql):
+    df.write.parquet(str(path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents/*.parquet'")
+    result = con.execute(sql)
+    names = [x[0] for x in result.description]
+    return {row[0]: dict(zip(names, row)) for row in result.fetchall()}
 
 
 # 5 ---------------------------------------------------------------------------------------------------
@@ -247,6 +323,29 @@ def test_repeated_strings(spark):
             assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(r), sum(mask), spans, hashlib.sha256(kept).hexdigest())
 
 
+def test_passages_of_over_fifty_words(spark):
+    rng = random.Random(51)
+    vocabulary = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]  # two letters: 51 words are 152 bytes
+    passage, short = prose(rng, 51, vocabulary), prose(rng, 50, vocabulary)
+    texts = [None, ""] + [prose(rng, 80, vocabulary) for _ in range(20)]
+    texts += [f"{prose(rng, 30, vocabulary)} {passage} {prose(rng, 30, vocabulary)}" for _ in range(3)]
+    texts += [f"{prose(rng, 30, vocabulary)} {short} {prose(rng, 30, vocabulary)}" for _ in range(3)]
+    texts += [f"x {passage.upper()}\n{passage} y", "\n".join(["z"] * 60), texts[2]]
+    words = [(t or "").lower().split() for t in texts]
+    seen = collections.Counter(tuple(w[i : i + 51]) for w in words for i in range(len(w) - 50))
+    want = []
+    for w in words:
+        mask = [False] * len(w)
+        for i in range(len(w) - 50):
+            if seen[tuple(w[i : i + 51])] > 1:
+                mask[i : i + 51] = [True] * 51
+        want.append(sum(mask))
+    got = by_id(pfpdedup.digests(docs(spark, texts)))
+    assert [got[i].n_passage_words for i in range(len(texts))] == want
+    assert want[22:25] == [51] * 3 and not any(want[25:28]) and not any(want[:2])
+    assert all(got[i].n_removed == 0 for i in range(22, 28))  # shorter than 400 bytes: reported, not removed
+
+
 # 6 ---------------------------------------------------------------------------------------------------
 
 
@@ -279,6 +378,36 @@ def test_sharding(spark, tmp_path):
     assert reshard.reshard(docs(spark, []), 4).count() == 0
 
 
+def test_heavy_texts_stay_whole(spark):
+    rng = random.Random(66)
+    texts = ["heavy " * 20] * 300 + ["other " * 10] * 40 + [prose(rng, rng.randrange(60), ["x", "yy", "zzz"]) for _ in range(300)]
+    r = reshard.reshard(docs(spark, texts), 8).collect()
+    held = collections.Counter()
+    for x in r:
+        held[x.shard] += x.size
+    heavy = {x.shard for x in r if x.text == "heavy " * 20}
+    assert len(heavy) == 1 and len({x.shard for x in r if x.text == "other " * 10}) == 1
+    rest = [held[s] for s in range(8) if s not in heavy]
+    assert held[heavy.pop()] == 121 * 300 and max(rest) - min(rest) <= 0.02 * sum(rest)
+
+
+def test_registered_sharding(spark, tmp_path):
+    rng = random.Random(67)
+    texts = [*ODD, *["copy " * 20] * 30] + [prose(rng, rng.randrange(60), ["x", "yy", "zzz"]) for _ in range(400)]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    r = queries.op6_sharding(spark, str(tmp_path)).collect()
+    assert sorted(x.doc_id for x in r) == list(range(len(texts)))
+    held, slots, shards = collections.Counter(), collections.defaultdict(list), collections.defaultdict(set)
+    for x in r:
+        raw = (texts[x.doc_id] or "").encode()
+        assert (x["size"], x.text_crc32, x.law, x.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+        held[x.shard] += x["size"]
+        slots[x.shard].append(x.slot)
+        shards[texts[x.doc_id]].add(x.shard)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(s) == 1 for s in shards.values())
+    assert len(held) == 16 and max(held.values()) - min(held.values()) <= 3050  # a text of 3,000 bytes is one block
+
+
 # 7 ---------------------------------------------------------------------------------------------------
 
 
@@ -293,6 +422,34 @@ def test_secret_forms_and_novelty(spark):
     assert got[0].spans == "" and got[7].n_hex == 1
 
 
+def test_novelty_has_no_limits(spark):
+    rng = random.Random(77)
+    key = "q9Zr7Lw2XvT8bN4mK1"
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100))
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(128))
+    filler = "some plain words " * 30
+    texts = [f"private {filler}{key}", f"private\n{filler}{key}", f"secret {letters}7Q", f"session {long}", f"auth secret=abcdef.{key}", "private " * 3000 + key]
+    got = by_id(secretscan.scan(docs(spark, texts)))
+    at = [(t.index(key), t.index(key) + len(key)) if key in t else None for t in texts]
+    assert got[0].spans == f"novel:{at[0][0]}:{at[0][1]}" and got[1].spans == ""
+    assert got[2].spans == "novel:7:109" and got[3].spans == f"novel:8:{8 + 128}"
+    assert got[4].n_assign == 1 and got[4].n_novel == 0 and got[5].n_novel == 1
+
+
+def test_base_forms_against_plain_matching(spark):
+    rng = random.Random(78)
+    bits = ["password", "Token", "api_key", "apikey", "=", ":", " ", '"', "'", "AKIA", "0a1b2c3d", "ABCDEF12", "deadbeefdeadbeef", "x", "\n", "\u00e9", "secret", "_"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(800)]
+    got = by_id(secretscan.scan(docs(spark, texts)))
+    for i, t in enumerate(texts):
+        kinds = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?i:password|passwd|secret|token|api_?key)["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[1]) >= 6]
+        kinds += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        kinds += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        want = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(kinds))
+        assert got[i].base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert set(filter(None, want.split(","))) <= set(got[i].spans.split(","))
+
+
 # 8 and 10 ----------------------------------------------------------------------------------------------
 
 
@@ -313,15 +470,14 @@ def test_bpe_equals_the_library(spark):
 def test_token_files(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    texts = ODD + ["same", "same"]
-    df = docs(spark, texts).withColumn("doc_id", F.col("doc_id") * 3 % 11).repartition(3)
+    texts = ODD + ["same", "same", "hi <|endoftext|> there", "a  <|endoftext|>\n b"]
+    df = docs(spark, texts).withColumn("doc_id", F.col("doc_id") * 3 % 13).repartition(3)
     files = tokenfiles.write_token_files(df, path)
     got = {r.doc_id: r for r in tokenfiles.read_token_files(spark, files, rows=2, with_ids=True).collect()}
     start = 0
-    for i in sorted(range(len(texts)), key=lambda i: i * 3 % 11):
+    for i in sorted(range(len(texts)), key=lambda i: i * 3 % 13):
         ids = tok.encode(texts[i] or "", add_special_tokens=False).ids + [2]
-        r = got[i * 3 % 11]
+        r = got[i * 3 % 13]
         assert (r.start, r.n_tokens, r.token_ids) == (start, len(ids), ids) and r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
     assert tokenfiles.read_token_files(spark, tokenfiles.write_token_files(docs(spark, []), path)).count() == 0
@@ -365,3 +521,59 @@ def test_decontamination(spark):
     clean = cgkdecon.decontaminate(docs(spark, texts, extra=1), bench)
     assert {r.doc_id for r in clean.collect()} == set(range(len(texts))) - {d for d, _ in found}
     assert cgkdecon.find_items(docs(spark, texts), bench.limit(0)).count() == 0
+
+
+def test_walks_drop_other_windows_and_keep_copies():
+    rng = random.Random(99)
+    vocabulary = [f"w{i}" for i in range(600)]
+    items = [(i, prose(rng, n, vocabulary)) for i, n in enumerate([10, 20, 40, 80] * 5)]
+    bench = cgkdecon.Benchmark(items)
+    known = cgkdecon.words_of([" ".join(vocabulary)])[0]
+    dropped = kept = caught = 0
+    for i, (_, own) in enumerate(bench.items):
+        n, k = len(own), bench.edits[i]
+        for _ in range(20):
+            other = known[[rng.randrange(600) for _ in range(n)]]
+            found, without = bench.candidates(other, [(i, 0)])
+            dropped, kept = dropped + without, kept + bool(found)
+            copy = own.tolist()
+            for at in rng.sample(range(n), k):
+                copy[at] = rng.randrange(1 << 60)
+            caught += any(j == i for j, _ in bench.candidates(np.array(copy, np.uint64), [(i, 0)])[0])
+    assert caught >= 0.95 * 400 and kept <= 0.1 * 400 and dropped >= 0.9 * 400
+
+
+# all -------------------------------------------------------------------------------------------------
+
+BENCHMARK = [(1, "one two three four five six seven eight nine ten")]
+OPERATORS = {
+    "media": lambda spark, df: jpegmedia.digests(df),
+    "language": lambda spark, df: crflang.digests(df),
+    "jaccard": lambda spark, df: adaptjoin.jaccard_components(df),
+    "lines": lambda spark, df: linedup.dedup_lines(df),
+    "repeats": lambda spark, df: pfpdedup.digests(df),
+    "shards": lambda spark, df: reshard.with_slots(reshard.reshard(df, 4)),
+    "secrets": lambda spark, df: secretscan.scan(df),
+    "bpe": lambda spark, df: segbpe.digests(df, RANKS, PATTERN),
+    "benchmark": lambda spark, df: cgkdecon.decontaminate(df, spark.createDataFrame(BENCHMARK, "item_id long, text string")),
+    "tokens": lambda spark, df: tokenfiles.read_token_files(spark, tokenfiles.write_token_files(df, public_tokenizers.path("byte_bpe_50k.json"))),
+}
+CLASH = ["n", "cid", "key", "keys", "p", "th", "line", "name", "list", "core", "size", "shard", "_key", "_bin", "score", "_said", "media", "ids", "token_ids", "own", "item_id", "_at", "_hot", "_cell", "_id"]
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_odd_tables(spark, name):
+    """No rows; null doc_ids, rows that repeat a doc_id or all of a row, and columns of clashing names."""
+    schema = "doc_id long, text string, lang string, source string"
+    empty = spark.createDataFrame([], schema)
+    assert OPERATORS[name](spark, empty).count() == 0
+    text = "\n".join("the house of water and green " * 5 + str(k) for k in range(4))
+    rows = [(None, text, "en", None), (None, None, None, None), (None, "", "en", "s"), (1, text, None, "s"), (1, "other words", "en", "s"), (1, "other words", "en", "s"), (2, text, "en", "s"), (2, None, None, None)]
+    rows += [(k, f"words of document {k}", "en", "s") for k in range(10, 16)]
+    df = spark.createDataFrame(rows, schema).withColumns({c: F.lit("clash") for c in CLASH})
+    got = OPERATORS[name](spark, df).collect()
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in got) == sorted(-1 if r[0] is None else r[0] for r in rows)
+    plain = OPERATORS[name](spark, spark.createDataFrame(rows, schema)).collect()
+    keep = [c for c in plain[0].asDict() if c not in CLASH and c not in ("slot",)]
+    key = lambda r: str([str(r[c]) for c in keep])
+    assert sorted(map(key, got)) == sorted(map(key, plain))
