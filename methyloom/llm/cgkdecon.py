@@ -91,7 +91,7 @@ def best_run(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 @functools.cache
 def agreement(n: int, edits: int, pairs: int = 96, walks: int = 16) -> np.ndarray:
-    """For simulated pairs of n words and a copy with so many edits, the share of steps that agree
+    """For simulated pairs of n words and a copy with so many edits, the share of early steps that agree
     under each of some walks."""
     rng = np.random.default_rng((n, edits))
     ones, twos = [], []
@@ -105,10 +105,17 @@ def agreement(n: int, edits: int, pairs: int = 96, walks: int = 16) -> np.ndarra
         two = two[:n] + [0] * (n - len(two))
         ones.append(one)
         twos.append(np.array(two, np.uint64))
-    same = [[np.mean(x == y) for x, y in zip(embed(ones, r), embed(twos, r))] for r in range(walks)]
+    used = early(n)
+    same = [[np.mean(x[:used] == y[:used]) for x, y in zip(embed(ones, r), embed(twos, r))] for r in range(walks)]
     return np.array(same)
 
 
+def early(n: int) -> int:
+    """Steps that keys are sampled from: by then few walks have come to the end, after which all write
+    the same pad."""
+    return max(1, 3 * n // 2)
+
+
 @functools.cache
 def walks_for(n: int, edits: int, bits: int = BITS, recall: float = RECALL) -> int:
     """Walks after which all but ``1 - recall`` of simulated copies have shared a key with the original."""
@@ -208,7 +215,7 @@ class Benchmark:
 @functools.cache
 def sampled(n: int, walk: int, bits: int) -> np.ndarray:
     """The steps of a walk over n words that make up its key."""
-    return np.random.default_rng((n, walk)).choice(3 * n, min(bits, 3 * n), replace=False)
+    return np.random.default_rng((n, walk)).choice(early(n), min(bits, early(n)), replace=False)
 
 
 def runs(words: np.ndarray, q: int) -> np.ndarray:

@@ -89,10 +89,11 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     n_removed, n_runs (stretches of removed lines) and longest_run (the longest of these)."""
     more = ["n_lines", "n_removed", "n_runs", "longest_run"]
     own = [c for c in docs.columns if c not in more]
+    rest = [F.col(f"`{c}`") for c in own if c not in ("doc_id", "text")]  # kept apart, whatever their names
     later = later_copies(docs.select("doc_id", "text"), min_lines)
     gone = later.select("p.doc_id", "p.th", F.explode(F.sequence(F.col("p.line"), F.col("p.line") + F.col("size") - 1)).alias("line"))
     gone = gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("_gone")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_gone")
-    rows = docs.select(*[F.col(f"`{c}`") for c in own]).withColumn("_h", F.xxhash64("text"))
+    rows = docs.select("doc_id", "text", F.struct(*rest, F.lit(0).alias("_none")).alias("_rest"), F.xxhash64("text").alias("_h"))
     rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left")
     gap = F.expr("transform(_gone, (x, i) -> x - if(i = 0, -1, _gone[i - 1]) - 1)")
     rows = rows.withColumn("_lines", F.split("text", "\n")).withColumn("_gaps", gap)
@@ -107,7 +108,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         "longest_run": F.coalesce(F.array_max(F.zip_with(ends, starts, lambda b, a: b - a + 1)), F.lit(0)).cast("long"),
     })
     rows = rows.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    return rows.select(*[F.col(f"`{c}`") for c in own], *more)
+    return rows.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"_rest.`{c}`") for c in own], *more)
 
 
 def digests(docs: DataFrame) -> DataFrame:
