@@ -20,7 +20,8 @@ CONVERTED = {1: (1, 3), 2: (0, 2)}  # strand -> bases that tell methylation
 
 def letters(values: list[str], index: Column, missing: str | None = None) -> Column:
     """The value of a fixed list at a 0-based index; ``missing`` for null."""
-    return F.when(index.isNull(), F.lit(missing)).otherwise(F.get(F.array(*map(F.lit, values)), index.cast("int")))
+    fixed = F.expr("array(" + ", ".join(f"'{v}'" for v in values) + ")")
+    return F.when(index.isNull(), F.lit(missing)).otherwise(F.get(fixed, index.cast("int")))
 
 
 def base_letter(code: Column) -> Column:

@@ -10,27 +10,28 @@ from pyspark.sql import functions as F
 TABLE = 256
 
 
-def ln_factorial(n: Column) -> Column:
-    """ln n!: a table below TABLE, Stirling's series (error under 1e-13) from there."""
-    table = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(TABLE)])
-    x = n.cast("double") + 1
-    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x)
-    return F.when(n < TABLE, F.get(table, n.cast("int"))).otherwise(series)
-
-
-def fisher(c0: Column, c1: Column, c2: Column, c3: Column) -> Column:
-    """Two-sided exact test of [c0 c1; c2 c3]: the probability of all tables with the same margins
-    at least as far from expectation as this one; 1 for an empty table."""
-    r0, r1, k0, n = c0 + c1, c2 + c3, c0 + c2, c0 + c1 + c2 + c3
-    far = F.abs(c0 * n - r0 * k0)
-    base = ln_factorial(r0) + ln_factorial(r1) + ln_factorial(k0) + ln_factorial(n - k0) - ln_factorial(n)
-
-    def add(total: Column, a: Column) -> Column:
-        p = F.exp(base - ln_factorial(a) - ln_factorial(r0 - a) - ln_factorial(k0 - a) - ln_factorial(r1 - k0 + a))
-        return total + F.when(F.abs(a * n - r0 * k0) >= far, p).otherwise(0.0)
-
-    total = F.aggregate(F.sequence(F.greatest(F.lit(0), k0 - r1), F.least(r0, k0)), F.lit(0.0), add)
-    return F.when(n == 0, 1.0).otherwise(F.least(total, F.lit(1.0)))
+def ln_factorials(*terms: tuple[int, str]) -> str:
+    """SQL of the sum of sign * ln n! over (sign, n): a table below TABLE, Stirling's series (error
+    under 1e-13) from there. One expression for all terms, so the table stands in it once."""
+    table = ", ".join(f"{math.lgamma(i + 1)!r}D" for i in range(TABLE))
+    series = f"(x.n + 0.5D) * ln(x.n + 1D) - x.n - 1D + {0.5 * math.log(2 * math.pi)!r}D + 1D / (12 * (x.n + 1D)) - 1D / (360 * pow(x.n + 1D, 3))"
+    items = ", ".join(f"struct({sign}D as s, cast({n} as int) as n)" for sign, n in terms)
+    return f"aggregate(array({items}), 0D, (t, x) -> t + x.s * if(x.n < {TABLE}, get(array({table}), x.n), {series}))"
+
+
+def fisher(c0: str, c1: str, c2: str, c3: str) -> Column:
+    """Two-sided exact test of [c0 c1; c2 c3] (names of columns): the probability of all tables with the same margins
+    at least as far from expectation as this one; 1 for an empty table. The first table's logarithm
+    comes from factorials, each next one's from the ratio to the one before."""
+    r0, r1, k0, k1, n = f"({c0} + {c1})", f"({c2} + {c3})", f"({c0} + {c2})", f"({c1} + {c3})", f"({c0} + {c1} + {c2} + {c3})"
+    low, high = f"greatest(0L, {k0} - {r1})", f"least({r0}, {k0})"
+    margins = [(1, r0), (1, r1), (1, k0), (1, k1), (-1, n)]
+    first = ln_factorials(*margins, (-1, low), (-1, f"{r0} - {low}"), (-1, f"{k0} - {low}"), (-1, f"{r1} - {k0} + {low}"))
+    ratio = f"ln(cast({r0} - a as double) * ({k0} - a) / ((a + 1D) * ({r1} - {k0} + a + 1D)))"
+    far = f"abs(a * {n} - {r0} * {k0}) >= abs({c0} * {n} - {r0} * {k0})"
+    step = f"struct(s.t + if({far}, exp(s.l), 0D) as t, s.l + {ratio} as l)"
+    total = f"aggregate(sequence({low}, {high}), struct(0D as t, {first} as l), (s, a) -> {step}, s -> s.t)"
+    return F.expr(f"CASE WHEN {n} = 0 THEN 1D ELSE least({total}, 1D) END")
 
 
 def phred(wrong: Column) -> Column:
@@ -43,7 +44,11 @@ def phred_round(p: Column) -> Column:
     return F.floor(-10 * F.log10(F.greatest(p, F.lit(1e-20))) + 0.5).cast("int")
 
 
-def error_k(qual: Column) -> Column:
-    """k = e / (3 - 4 e) of the error probability e of a quality, e being a half at most."""
-    e = F.least(F.pow(F.lit(10.0), -qual / 10.0), F.lit(0.5))
-    return e / (3 - 4 * e)
+def error_k_sql(qual: str) -> str:
+    """SQL of k = e / (3 - 4 e) of the error probability e of a quality, e being a half at most."""
+    e = f"least(pow(10D, -{qual} / 10D), 0.5D)"
+    return f"{e} / (3 - 4 * {e})"
+
+
+def error_k(qual: str) -> Column:
+    return F.expr(error_k_sql(qual))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.bases import GENOTYPES, IUPAC, base_letter, letters
+from ..functions.bases import GENOTYPES, IUPAC, base_letter, cytosine_strand, letters
 
 BUCKET = 1 << 16
 
@@ -69,11 +69,13 @@ def cpg_status(gt: Column, before: Column, after: Column) -> Column:
 
 
 def with_cpg(sites: DataFrame) -> DataFrame:
-    """Add cg, the status, and what pairs need: neighbours' genotype, reference and filter."""
-    near = with_neighbours(sites, ["gt", "ref", "flt"], reach=1)
+    """Add cg, the status, and ref_cpg, whether the reference has a CpG too, from the neighbours'
+    genotype and reference; where sites have filters, the neighbours' flt as well."""
+    near = with_neighbours(sites, [c for c in ("gt", "ref", "flt") if c in sites.columns], reach=1)
     near = near.withColumn("cg", cpg_status(F.col("gt"), F.col("gt_m1"), F.col("gt_p1")))
-    forward = (F.col("cs") == "+") & (F.col("ref") == 1) & (F.col("ref_p1") == 2)
-    backward = (F.col("cs") == "-") & (F.col("ref_m1") == 1) & (F.col("ref") == 2)
+    strand = cytosine_strand(F.col("gt"))
+    forward = (strand == "+") & (F.col("ref") == 1) & (F.col("ref_p1") == 2)
+    backward = (strand == "-") & (F.col("ref_m1") == 1) & (F.col("ref") == 2)
     return near.withColumn("ref_cpg", F.coalesce(forward | backward, F.lit(False)))
 
 

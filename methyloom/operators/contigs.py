@@ -11,7 +11,9 @@ BIN = 1 << 14  # positions; an interval meets the bins it covers
 
 
 def resolve_contigs(reference: DataFrame, header: DataFrame, sizes: DataFrame | None = None, regions: DataFrame | None = None) -> DataFrame:
-    """Names to work on: in reference and header, and in the sizes or regions if given (name columns)."""
+    """Names to work on, in four cases: in reference and header; of these, those among the sizes; those
+    that have regions; or, with both, those that have regions, each of which must be among the
+    sizes (a region's contig that is not is left out, see :func:`missing_contigs`). All have a column name."""
     names = reference.select("name").intersect(header.select("name"))
     for wanted in (sizes, regions):
         if wanted is not None:
@@ -67,6 +69,29 @@ def without_overlaps(regions: DataFrame) -> DataFrame:
     return regions.dropDuplicates(keys).join(kept, keys, "left_semi")
 
 
+def clamped_regions(regions: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Regions cut off at their contig's end (``contigs``: name, length), with the column beyond that says
+    which were; regions that begin beyond it, or on contigs not listed, go."""
+    ends = contigs.select(F.col("name").alias("contig"), F.col("length").alias("_length"))
+    rows = regions.join(ends, "contig").filter("start_pos <= _length").withColumn("beyond", F.col("end_pos") > F.col("_length"))
+    return rows.withColumn("end_pos", F.least("end_pos", "_length").cast("long")).drop("_length")
+
+
+def reads_in_regions(reads: DataFrame, regions: DataFrame) -> DataFrame:
+    """Reads that overlap a region (fetch by overlap: contig, pos and the CIGAR's span)."""
+    span = F.aggregate("cigar", F.lit(0), lambda total, c: total + F.when(c["op"].isin("M", "=", "X", "D", "N"), c["len"]).otherwise(0))
+    rows = reads.withColumn("_end", F.col("pos") + F.greatest(span, F.lit(1)) - 1)
+    left, right = binned(rows, "pos", "_end").alias("s"), binned(regions).alias("r")
+    on = (F.col("s.contig") == F.col("r.contig")) & (F.col("s._bin") == F.col("r._bin")) & (F.col("s.pos") <= F.col("r.end_pos")) & (F.col("s._end") >= F.col("r.start_pos"))
+    # a read that spans a bin's edge is there twice
+    return left.join(right, on, "left_semi").dropDuplicates(["ord"]).drop("_bin", "_end")
+
+
+def with_contig_ids(rows: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Rows of listed contigs with the contig's number in the header (``contigs``: name, ix)."""
+    return rows.join(contigs.select(F.col("name").alias("contig"), "ix"), "contig")
+
+
 def sites_in_regions(sites: DataFrame, regions: DataFrame, how: str = "left_semi") -> DataFrame:
     """Sites inside some region (``left_semi``), outside all (``left_anti``), or with each region
     (``inner``). An equi-join on bins, then the exact bounds."""
@@ -79,9 +104,9 @@ def sites_in_regions(sites: DataFrame, regions: DataFrame, how: str = "left_semi
 
 
 def gc_bins(ref: DataFrame, width: int = 100) -> DataFrame:
-    """contig, bin and gc: percent of G and C among ``width`` positions; 255 if any is not A, C, G or T
-    (or missing). Bins count from the contig's first known base."""
+    """contig, bin, first and gc: percent of G and C among ``width`` positions; 255 if any is not A, C, G or T
+    (or missing). Bins count from ``first``, the contig's first known base."""
     first = ref.filter("ref is not null").groupBy("contig").agg(F.min("pos").alias("first"))
     rows = ref.join(first, "contig").filter("pos >= first").withColumn("bin", F.floor((F.col("pos") - F.col("first")) / width).cast("int"))
-    out = rows.groupBy("contig", "bin").agg(F.count("ref").alias("known"), F.count_if(F.col("ref").isin(1, 2)).alias("gc"))
-    return out.select("contig", "bin", F.when(F.col("known") < width, 255).otherwise(F.floor(F.col("gc") * 100 / width)).cast("int").alias("gc"))
+    out = rows.groupBy("contig", "bin").agg(F.min("first").alias("first"), F.count("ref").alias("known"), F.count_if(F.col("ref").isin(1, 2)).alias("gc"))
+    return out.select("contig", "bin", "first", F.when(F.col("known") < width, 255).otherwise(F.floor(F.col("gc") * 100 / width)).cast("int").alias("gc"))

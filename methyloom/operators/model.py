@@ -13,110 +13,107 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bases import GENOTYPES, HET, IUPAC, allele_channels, alt_alleles, cytosine_strand, gt_call, letters, mutation
-from ..functions.stats import error_k, fisher, phred, phred_round
+from ..functions.stats import error_k_sql, fisher, phred, phred_round
 from ..params import CallParams
 from .pileup import CHANNELS, pileup, with_quality
 
 
-def mle(n1: Column, n2: Column, k1: Column, k2: Column, params: CallParams) -> list[Column]:
+def mle(n1: str, n2: str, k1: str, k2: str, params: CallParams) -> list[str]:
     """Most likely unconverted share of an informative allele alone, beside the allele that
     conversion makes, and beside another one. Null without informative bases."""
     left, turned = 1 - params.under_conversion, params.over_conversion
     s, d = left + turned, left - turned
     out = []
     for num in (
-        n1 * (s + 2 * k2) - n2 * (2 - s + 2 * k1),
-        n1 * (2 + s + 4 * k2) - n2 * (2 - s + 4 * k1),
-        n1 * (s + 4 * k2) - n2 * (2 - s + 4 * k1),
+        f"{n1} * ({s}D + 2 * {k2}) - {n2} * (2 - {s}D + 2 * {k1})",
+        f"{n1} * (2 + {s}D + 4 * {k2}) - {n2} * (2 - {s}D + 4 * {k1})",
+        f"{n1} * ({s}D + 4 * {k2}) - {n2} * (2 - {s}D + 4 * {k1})",
     ):
-        sine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), num / ((n1 + n2) * d)))
-        out.append(F.when(n1 + n2 > 0, 0.5 * (d * sine + 2 - s)))
+        sine = f"greatest(-1D, least(1D, ({num}) / (({n1} + {n2}) * {d}D)))"
+        out.append(f"CASE WHEN {n1} + {n2} > 0 THEN 0.5D * ({d}D * {sine} + 2 - {s}D) END")
     return out
 
 
 def with_mle(sites: DataFrame, params: CallParams = CallParams()) -> DataFrame:
     """Add k{0..7} and z0..z5: shares at C (channels 5 and 7), then at G (6 and 4)."""
-    sites = sites.withColumns({f"k{c}": error_k(F.col(f"m{c}")) for c in CHANNELS})
-    n = lambda c: F.col(f"c{c}").cast("double")
-    z = mle(n(5), n(7), F.col("k5"), F.col("k7"), params) + mle(n(6), n(4), F.col("k6"), F.col("k4"), params)
-    return sites.withColumns({f"z{i}": x for i, x in enumerate(z)})
+    sites = sites.selectExpr("*", *[f"{error_k_sql(f'm{c}')} AS k{c}" for c in CHANNELS])
+    z = mle("c5", "c7", "k5", "k7", params) + mle("c6", "c4", "k6", "k4", params)
+    return sites.selectExpr("*", *[f"{x} AS z{i}" for i, x in enumerate(z)])
 
 
-def likelihood(ch: int, genotype: str) -> Column:
-    """Likelihood of one base of a channel given a genotype."""
-    k = F.col(f"k{ch}")
+def likelihood(ch: int, genotype: str) -> str:
+    """SQL of the likelihood of one base of a channel given a genotype."""
+    k = f"k{ch}"
     own = "ACGT"[ch % 4]
-    share = genotype.count(own) / 2
+    share = f"{genotype.count(own) / 2}D"
     if ch < 4:
-        return share + k
-    z = [F.col(f"z{i}") for i in ((0, 1, 2) if ch in (5, 7) else (3, 4, 5))]
+        return f"{share} + {k}"
+    z = [f"z{i}" for i in ((0, 1, 2) if ch in (5, 7) else (3, 4, 5))]
     kept = ch in (5, 6)  # an unconverted C or G; else what conversion has made of one
     source, made = ("C", "T") if ch in (5, 7) else ("G", "A")
     if source not in genotype:
-        return (0.0 if kept else share) + k
+        return k if kept else f"{share} + {k}"
     if genotype == source * 2:
-        return (z[0] if kept else 1 - z[0]) + k
+        return f"{z[0]} + {k}" if kept else f"1 - {z[0]} + {k}"
     if made in genotype:
-        return (0.5 * z[1] if kept else 1 - 0.5 * z[1]) + k
-    return (0.5 * z[2] + k) if kept else 0.5 * (1 - z[2]) + k
+        return f"0.5D * {z[1]} + {k}" if kept else f"1 - 0.5D * {z[1]} + {k}"
+    return f"0.5D * {z[2]} + {k}" if kept else f"0.5D * (1 - {z[2]}) + {k}"
 
 
-def prior(genotype: str, ref: Column, bias: float) -> Column:
-    same = [i for i, b in enumerate("ACGT") if b in genotype]
+def prior(genotype: str, bias: float) -> str:
+    same = [str(i) for i, b in enumerate("ACGT") if b in genotype]
     gain = math.log(bias) if len(same) == 1 else math.log(0.5 * (1 + bias))
-    return F.when(ref.isin(*same), gain).otherwise(0.0)
+    return f"CASE WHEN ref IN ({', '.join(same)}) THEN {gain!r}D ELSE 0D END"
 
 
 def with_genotypes(sites: DataFrame, params: CallParams = CallParams()) -> DataFrame:
     """Add gl0..gl9 (log10 of the normalised likelihoods), gt (the first best) and wrong (the
-    probability of all others)."""
-    total = {}
-    for g, genotype in enumerate(GENOTYPES):
-        terms = [F.when(F.col(f"c{c}") > 0, F.col(f"c{c}") * F.log(likelihood(c, genotype))).otherwise(0.0) for c in CHANNELS]
-        total[f"ll{g}"] = sum(terms, prior(genotype, F.col("ref"), params.reference_bias))
-    all_ll = F.array(*[F.col(f"ll{g}") for g in range(10)])
-    sites = sites.withColumns(total).withColumn("_ll", all_ll)
-    sites = sites.withColumn("_top", F.array_max("_ll"))
-    sites = sites.withColumn("gt", (F.array_position("_ll", F.col("_top")) - 1).cast("int"))
-    sites = sites.withColumn("_sum", sum((F.exp(F.col(f"ll{g}") - F.col("_top")) for g in range(10)), F.lit(0.0)))
-    out = {f"gl{g}": (F.col(f"ll{g}") - F.col("_top") - F.log("_sum")) / math.log(10) for g in range(10)}
-    others = sum((F.when(F.col("gt") != g, F.exp(F.col(f"ll{g}") - F.col("_top"))).otherwise(0.0) for g in range(10)), F.lit(0.0))
-    return sites.withColumns(out | {"wrong": others / F.col("_sum")}).drop("_ll", "_top", "_sum", *total)
-
-
-def strand_table(cell: int) -> Column:
-    """Cell of the 2x2 table (orientation by allele) of the called heterozygous genotype."""
+    probability of all others). A channel's logarithms are taken once for all genotypes alike."""
+    wanted = {(c, likelihood(c, g)) for c in CHANNELS for g in GENOTYPES}
+    names = {x: f"_l{i}" for i, x in enumerate(sorted(wanted))}
+    logs = [f"CASE WHEN c{c} > 0 THEN c{c} * ln({text}) ELSE 0D END AS {name}" for (c, text), name in names.items()]
+    totals = [" + ".join([prior(g, params.reference_bias), *[names[c, likelihood(c, g)] for c in CHANNELS]]) for g in GENOTYPES]
+    kept = sites.columns
+    sites = sites.selectExpr("*", *logs).selectExpr(*kept, *[f"{x} AS _g{g}" for g, x in enumerate(totals)])
+    every = [f"_g{g}" for g in range(10)]
+    sites = sites.selectExpr("*", f"greatest({', '.join(every)}) AS _top")
+    first = "CASE " + " ".join(f"WHEN {x} = _top THEN {g}" for g, x in enumerate(every)) + " END"
+    sites = sites.selectExpr("*", f"{first} AS gt", " + ".join(f"exp({x} - _top)" for x in every) + " AS _sum")
+    gl = [f"({x} - _top - ln(_sum)) / {math.log(10)!r}D AS gl{g}" for g, x in enumerate(every)]
+    others = " + ".join(f"if(gt = {g}, 0D, exp({x} - _top))" for g, x in enumerate(every))
+    return sites.selectExpr(*kept, "gt", *gl, f"({others}) / _sum AS wrong")
+
+
+def strand_table(cell: int) -> str:
+    """SQL of a cell of the 2x2 table (orientation by allele) of the called heterozygous genotype."""
     strand, allele = divmod(cell, 2)
-    out = F.lit(0).cast("long")
-    for g, genotype in enumerate(GENOTYPES):
-        if HET[g]:
-            used = allele_channels(genotype)[allele]
-            out = F.when(F.col("gt") == g, sum((F.col(f"s{strand}c{c}") for c in used), F.lit(0).cast("long"))).otherwise(out)
-    return out
+    cases = [f"WHEN {g} THEN " + " + ".join(f"s{strand}c{c}" for c in allele_channels(genotype)[allele]) for g, genotype in enumerate(GENOTYPES) if HET[g]]
+    return f"CASE gt {' '.join(cases)} ELSE 0L END"
 
 
 def with_strand_bias(sites: DataFrame) -> DataFrame:
     """Add fp (Fisher's probability, 1 where homozygous) and fs (its rounded Phred value)."""
-    sites = sites.withColumns({f"_t{i}": strand_table(i) for i in range(4)})
-    sites = sites.withColumn("fp", fisher(*[F.col(f"_t{i}") for i in range(4)]))
+    sites = sites.selectExpr("*", *[f"{strand_table(i)} AS _t{i}" for i in range(4)])
+    sites = sites.withColumn("fp", fisher("_t0", "_t1", "_t2", "_t3"))
     return sites.withColumn("fs", phred_round(F.col("fp"))).drop("_t0", "_t1", "_t2", "_t3")
 
 
+def with_phred(sites: DataFrame) -> DataFrame:
+    """Add phred, of the genotype's error probability, and qd, phred by depth."""
+    sites = sites.withColumn("phred", phred(F.col("wrong")))
+    return sites.selectExpr("*", "cast(if(dp1 > 0, floor(phred / dp1), phred) as int) AS qd")
+
+
 def with_filters(sites: DataFrame) -> DataFrame:
     """Add phred, qd, flt (1 q20, 2 qd2, 4 fs60, 8 mq40, 128 mac1), filter and ft."""
-    sites = sites.withColumn("phred", phred(F.col("wrong")))
-    sites = sites.withColumn("qd", F.when(F.col("dp1") > 0, F.floor(F.col("phred") / F.col("dp1"))).otherwise(F.col("phred")).cast("int"))
-    tests = {"q20": (1, F.col("phred") < 20), "qd2": (2, F.col("qd") < 2), "fs60": (4, F.col("fs") > 60), "mq40": (8, F.col("mq") < 40)}
-    flt = sum((F.when(test, bit).otherwise(0) for bit, test in tests.values()), F.lit(0))
-    single = F.lit(False)
-    for g, genotype in enumerate(GENOTYPES):
-        if HET[g]:
-            few = [sum((F.col(f"c{c}") for c in used), F.lit(0)) <= 1 for used in allele_channels(genotype)]
-            single = single | ((F.col("gt") == g) & (few[0] | few[1]))
-    sites = sites.withColumn("flt", flt).withColumn("flt", F.when((F.col("flt") == 0) & single, 128).otherwise(F.col("flt")).cast("int"))
-    names = F.concat_ws(";", *[F.when(F.col("flt").bitwiseAND(F.lit(bit)) != 0, name) for name, (bit, _) in tests.items()])
-    kind = F.when(F.col("flt") == 0, "PASS").when(F.col("flt") == 128, "mac1").otherwise("fail")
-    return sites.withColumns({"filter": kind, "ft": F.when(F.col("flt").isin(0, 128), "PASS").otherwise(names)})
+    sites = with_phred(sites)
+    tests = {"q20": (1, "phred < 20"), "qd2": (2, "qd < 2"), "fs60": (4, "fs > 60"), "mq40": (8, "mq < 40")}
+    flt = " + ".join(f"if({test}, {bit}, 0)" for bit, test in tests.values())
+    few = [f"(gt = {g} AND ({' + '.join(f'c{c}' for c in used)}) <= 1)" for g, genotype in enumerate(GENOTYPES) if HET[g] for used in allele_channels(genotype)]
+    sites = sites.selectExpr("*", f"{flt} AS _f4").selectExpr("*", f"if(_f4 = 0 AND ({' OR '.join(few)}), 128, _f4) AS flt").drop("_f4")
+    names = ", ".join(f"if(flt & {bit} <> 0, '{name}', null)" for name, (bit, _) in tests.items())
+    kind = "CASE flt WHEN 0 THEN 'PASS' WHEN 128 THEN 'mac1' ELSE 'fail' END"
+    return sites.selectExpr("*", f"{kind} AS filter", f"if(flt IN (0, 128), 'PASS', concat_ws(';', {names})) AS ft")
 
 
 def with_alleles(sites: DataFrame) -> DataFrame:
@@ -160,7 +157,21 @@ def settled(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")
 
 
+def genotyped_pileup(piled: DataFrame, params: CallParams = CallParams()) -> DataFrame:
+    return settled(with_genotypes(with_mle(with_quality(piled), params), params))
+
+
+def genotyped_sites(bases: DataFrame, params: CallParams = CallParams()) -> DataFrame:
+    """From bases to genotypes (gt, gl0..gl9, wrong): one shuffle, the rest is expressions."""
+    return genotyped_pileup(pileup(bases, params), params)
+
+
+def finished_sites(sites: DataFrame) -> DataFrame:
+    """Genotyped sites with strand bias, filters and alleles. What drops sites by genotype goes before
+    this, so that the test of strand bias is left out for them."""
+    return settled(with_alleles(with_filters(with_strand_bias(sites))))
+
+
 def call_sites(bases: DataFrame, params: CallParams = CallParams()) -> DataFrame:
-    """From bases to called and filtered sites: one shuffle, the rest is expressions."""
-    sites = settled(with_genotypes(with_mle(with_quality(pileup(bases, params)), params), params))
-    return settled(with_alleles(with_filters(settled(with_strand_bias(sites)))))
+    """From bases to called and filtered sites."""
+    return finished_sites(genotyped_sites(bases, params))

@@ -77,11 +77,17 @@ def coverage(sites: DataFrame) -> DataFrame:
     return out
 
 
+def with_gc_bin(sites: DataFrame, bins: DataFrame, width: int = 100) -> DataFrame:
+    """Sites with the number and the GC content of the bin they lie in."""
+    firsts = bins.groupBy("contig").agg(F.min("first").alias("_first"))
+    rows = sites.join(firsts, "contig").withColumn("bin", F.floor((F.col("pos") - F.col("_first")) / width).cast("int")).drop("_first")
+    return rows.join(bins.select("contig", "bin", "gc"), ["contig", "bin"])
+
+
 def coverage_by_gc(sites: DataFrame, bins: DataFrame, width: int = 100) -> DataFrame:
-    """dp, gc and n over sites in usable GC bins (bins: contig, bin, gc, first)."""
-    usable = bins.filter("gc <= 100")
-    rows = sites.withColumn("bin", F.floor((F.col("pos") - 1) / width).cast("int"))
-    return rows.join(usable, ["contig", "bin"]).groupBy("dp", "gc").agg(F.count(F.lit(1)).alias("n"))
+    """dp, gc and n over sites in usable GC bins (bins: contig, bin, first and gc of
+    :func:`contigs.gc_bins`); bins count from each contig's first known base."""
+    return with_gc_bin(sites, bins, width).filter("gc <= 100").groupBy("dp", "gc").agg(F.count(F.lit(1)).alias("n"))
 
 
 def methylation_posterior(sites: DataFrame) -> DataFrame:
@@ -91,14 +97,10 @@ def methylation_posterior(sites: DataFrame) -> DataFrame:
     rows = sites.filter((F.col("cg") == "CG") & F.col("cs").isin("+", "-"))
     rows = rows.select("ref_cpg", "flt", F.when(plus, F.col("c5")).otherwise(F.col("c6")).alias("a"), F.when(plus, F.col("c7")).otherwise(F.col("c4")).alias("b")).filter("a + b > 0")
     rows = rows.groupBy("ref_cpg", "a", "b").agg(*_all_passed())
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-
-    def log_weight(i):
-        m = i / F.lit(100.0)
-        return F.when(a > 0, F.when(i > 0, a * F.log(m)).otherwise(-1e300)).otherwise(0.0) + F.when(b > 0, F.when(i < 100, b * F.log(1 - m)).otherwise(-1e300)).otherwise(0.0)
-
-    rows = rows.withColumn("w", F.transform(F.sequence(F.lit(0), F.lit(100)), log_weight))
-    rows = rows.withColumn("w", F.transform("w", lambda x: F.exp(x - F.array_max("w"))))
-    rows = rows.withColumn("total", F.aggregate("w", F.lit(0.0), lambda t, x: t + x))
-    rows = rows.select("ref_cpg", "all", "passed", "total", F.posexplode("w").alias("bin", "x"))
-    return rows.groupBy("ref_cpg", "bin").agg(F.sum(F.col("x") / F.col("total") * F.col("all")).alias("weight_all"), F.sum(F.col("x") / F.col("total") * F.col("passed")).alias("weight_passed"))
+    # the largest weight is at m = a / (a + b); less its logarithm, none overflows
+    grid = rows.selectExpr("*", "explode(sequence(0, 100)) AS bin", "if(a > 0, a * ln(a / (a + b)), 0D) + if(b > 0, b * ln(b / (a + b)), 0D) AS top")
+    side = lambda n, share, end: f"CASE WHEN {n} = 0 THEN 0D WHEN bin = {end} THEN -1e300D ELSE {n} * ln({share}) END"
+    grid = grid.selectExpr("ref_cpg", "a", "b", "`all`", "passed", "bin", f"exp({side('a', 'bin / 100D', 0)} + {side('b', '1 - bin / 100D', 100)} - top) AS x")
+    total = grid.groupBy("ref_cpg", "a", "b").agg(F.sum("x").alias("total"))
+    shares = grid.join(total, ["ref_cpg", "a", "b"])
+    return shares.groupBy("ref_cpg", "bin").agg(F.sum(F.expr("x / total * `all`")).alias("weight_all"), F.sum(F.expr("x / total * passed")).alias("weight_passed"))

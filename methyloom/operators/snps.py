@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .model import skipped
+from .templates import carried
 
 BIN_BITS = 6  # positions a bin: 64
 
@@ -49,6 +51,15 @@ def bitmaps(snps: DataFrame) -> DataFrame:
     return with_bin(one_per_position(snps)).groupBy("contig", "bin").agg(F.bit_or(bit).alias("mask"), F.coalesce(F.bit_or(F.when(F.col("flagged"), bit)), none).alias("fq_mask"), F.count(F.lit(1)).alias("n"))
 
 
+def bin_deltas(snps: DataFrame, stretch: int = 1 << 16) -> DataFrame:
+    """contig, bin and delta: how far the bin lies from the one before that holds SNPs (the first: from
+    0). Windows hold a stretch of bins; the last bin of earlier stretches is carried in."""
+    rows = with_bin(snps).select("contig", "bin").distinct().withColumn("_stretch", F.floor(F.col("bin") / stretch))
+    rows, before = carried(rows, F.col("bin"), F.max, F.max)
+    last = F.lag("bin").over(W.partitionBy("contig", "_stretch").orderBy("bin"))
+    return rows.select("contig", "bin", (F.col("bin") - F.coalesce(last, before, F.lit(0))).cast("long").alias("delta"))
+
+
 def bitmap_rank(snps: DataFrame) -> DataFrame:
     """contig, pos and rank: entries of the bin below each SNP's own, as a popcount of the mask."""
     rows = with_bin(one_per_position(snps)).join(bitmaps(snps).select("contig", "bin", "mask"), ["contig", "bin"])

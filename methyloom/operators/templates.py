@@ -45,11 +45,12 @@ def best_of_duplicates(templates: DataFrame, keys: list[str], best: list[str]) -
     return templates.groupBy(*keys).agg(top, F.count(F.lit(1)).alias("n_dup")).select(*keys, "_best.*", "n_dup")
 
 
-def _carried(rows: DataFrame, value: Column, start, join) -> tuple[DataFrame, Column]:
-    """What all stretches before a row's own add up to, by a small table of one row a stretch."""
-    per = rows.groupBy("contig", "_stretch").agg(start(value).alias("_all"))
-    before = W.partitionBy("contig").orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
-    return rows.join(per.select("contig", "_stretch", join("_all").over(before).alias("_before")), ["contig", "_stretch"], "left"), F.col("_before")
+def carried(rows: DataFrame, value: Column, start, join, by: str = "contig") -> tuple[DataFrame, Column]:
+    """What all stretches (column _stretch) before a row's own add up to, by a small table of one row
+    a stretch."""
+    per = rows.groupBy(by, "_stretch").agg(start(value).alias("_all"))
+    before = W.partitionBy(by).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
+    return rows.join(per.select(by, "_stretch", join("_all").over(before).alias("_before")), [by, "_stretch"], "left"), F.col("_before")
 
 
 def blocks(reads: DataFrame, gap: int = 1, stretch: int = STRETCH) -> DataFrame:
@@ -59,10 +60,10 @@ def blocks(reads: DataFrame, gap: int = 1, stretch: int = STRETCH) -> DataFrame:
     order = ["st", "en", *[c for c in ("qname", "mapq", "flag", "isize", "bs_strand") if c in reads.columns]]
     rows = reads.withColumn("_stretch", F.floor(F.col("st") / stretch))
     own = W.partitionBy("contig", "_stretch").orderBy(*order)
-    rows, before = _carried(rows, F.col("en"), F.max, F.max)
+    rows, before = carried(rows, F.col("en"), F.max, F.max)
     reach = F.greatest(before, F.max("en").over(own.rowsBetween(W.unboundedPreceding, -1)))
     rows = rows.withColumn("_opens", F.when(reach.isNull() | (F.col("st") > reach + gap), 1).otherwise(0)).drop("_before")
-    rows, before = _carried(rows, F.col("_opens"), F.sum, F.sum)
+    rows, before = carried(rows, F.col("_opens"), F.sum, F.sum)
     number = F.coalesce(before, F.lit(0)) + F.sum("_opens").over(own.rowsBetween(W.unboundedPreceding, 0))
     return rows.withColumn("block", number.cast("long")).drop("_stretch", "_opens", "_before")
 

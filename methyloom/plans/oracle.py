@@ -170,6 +170,60 @@ oracle("w02_dedup", READS, """SELECT contig, st, en, bs_strand, best_mapq, best_
   count(*) OVER (PARTITION BY contig, st, en, bs_strand) AS n_dup, row_number() OVER (PARTITION BY contig, st, en, bs_strand ORDER BY mapq DESC, l_qseq DESC) AS rn FROM fx_reads) WHERE rn = 1""")
 oracle("a18_extents", READS, "SELECT contig, min(st) AS start_pos, max(en) AS max_pos, max(l_qseq) AS max_len FROM fx_reads GROUP BY 1")
 
+# alignments: expected values come from the numbers that the lines are made of, not from the lines
+
+SAM = f"""{fx("fx_sam")},
+strands AS (SELECT *, CASE substr(t2, 1, 2) WHEN 'ZS' THEN 2 WHEN 'YD' THEN 1 ELSE CASE t1 WHEN 'XG:Z:CT' THEN 1 WHEN 'XG:Z:GA' THEN 2 ELSE 0 END END AS strand,
+  flag & 16 > 0 AS rev, flag & 128 > 0 AS second, flag & 1 > 0 AS paired FROM fx_sam),
+quals AS (SELECT ord, list_transform(range(rl), lambda i: least(43, ascii(substr(qual, CAST(i + 1 AS INT), 1)) - 33)) AS qs FROM fx_sam),
+reasons AS (SELECT *, CASE WHEN flag & 1024 > 0 THEN 'duplicate' WHEN paired AND flag & 2 = 0 THEN 'not_correctly_aligned' WHEN mapq < 20 THEN 'mapq'
+  WHEN paired AND mate_contig <> contig THEN 'mate_other_contig' WHEN paired AND isize > 1000 THEN 'insert_size'
+  WHEN paired AND ((rev AND pos < mate_pos) OR (NOT rev AND pos > mate_pos)) THEN 'orientation' ELSE 'passed' END AS reason FROM strands),
+usable AS (SELECT r.*, CAST(list_sum(qs) AS BIGINT) AS qsum, CASE WHEN paired THEN CAST(second AS INT) ELSE CAST(rev AS INT) END AS ori,
+  CASE WHEN NOT rev THEN pos WHEN flag & 3 = 3 AND mate_pos > 0 THEN mate_pos END AS fwd_pos, CASE WHEN rev THEN pos WHEN flag & 3 = 3 AND mate_pos > 0 THEN mate_pos END AS rev_pos
+  FROM reasons r JOIN quals USING (ord) WHERE reason = 'passed')"""
+
+
+def sam_bases(left: tuple[int, int] = (0, 0), right: tuple[int, int] = (0, 0), source: str = "usable") -> str:
+    """All bases of the reads of a table: those matched, and those clipped (without a place)."""
+    return f"""pieces AS (SELECT *, UNNEST([{{'at': a, 'off': 0, 'n': b, 'clip': FALSE}}, {{'at': a + b + c, 'off': b, 'n': d, 'clip': FALSE}}, {{'at': a + b + c + d, 'off': b + d + e, 'n': f, 'clip': FALSE}},
+    {{'at': 0, 'off': 0, 'n': a, 'clip': TRUE}}, {{'at': rl - g, 'off': 0, 'n': g, 'clip': TRUE}}]) AS s FROM {source}),
+  laid AS (SELECT *, UNNEST(range(s.n)) AS i FROM pieces),
+  lettered AS (SELECT *, CAST(s.at + i AS INT) AS at_, CASE WHEN NOT s.clip THEN pos + s.off + i END AS p, s.clip AS clipped, strpos('ACGT', substr(seq, CAST(s.at + i + 1 AS INT), 1)) - 1 AS base_ FROM laid),
+  based AS (SELECT *, least(43, ascii(substr(qual, at_ + 1, 1)) - 33) AS q, CASE WHEN rev THEN rl - 1 - at_ ELSE at_ END AS read_pos,
+    at_ < CASE WHEN second THEN {left[1]} ELSE {left[0]} END OR at_ >= rl - CASE WHEN second THEN {right[1]} ELSE {right[0]} END AS trimmed FROM lettered WHERE base_ >= 0 OR clipped)"""
+
+
+OVERLAPS = """sides AS (SELECT contig, qname, rev, max({'a': pos, 'b': pos + span, 'm': CAST(floor(list_sum(list_transform(range(rl), lambda i: ascii(substr(qual, CAST(i + 1 AS INT), 1)) - 33)) / rl) AS BIGINT)}) AS x FROM usable GROUP BY 1, 2, 3),
+  meet AS (SELECT f.contig, f.qname, f.x AS f, r.x AS r, CASE WHEN f.x.b - f.x.a <> r.x.b - r.x.a THEN f.x.b - f.x.a > r.x.b - r.x.a ELSE f.x.m > r.x.m END AS rev
+    FROM sides f JOIN sides r ON f.contig = r.contig AND f.qname = r.qname AND NOT f.rev AND r.rev WHERE f.x.b >= r.x.a AND r.x.b > f.x.a),
+  marked AS (SELECT t.*, coalesce(p >= CASE WHEN t.rev THEN m.f.a ELSE m.r.a END AND p < CASE WHEN t.rev THEN m.f.b ELSE m.r.b END, FALSE) AS overlap FROM based t LEFT JOIN meet m ON m.contig = t.contig AND m.qname = t.qname AND m.rev = t.rev)"""
+TEMPLATES = """firsts AS (SELECT contig, qname, min({'ord': ord, 'f': fwd_pos, 'r': rev_pos, 's': strand}) AS x, bool_or(paired) AS paired,
+    min({'ord': ord, 'q': mapq, 'n': rl, 't': qsum}) FILTER (WHERE NOT rev) AS f, min({'ord': ord, 'q': mapq, 'n': rl, 't': qsum}) FILTER (WHERE rev) AS r FROM usable GROUP BY 1, 2),
+  tpl AS (SELECT contig, qname, x.f AS fwd_pos, x.r AS rev_pos, x.s AS bs_strand, x.ord AS ord, paired, CAST((f IS NOT NULL) AS INT) + CAST((r IS NOT NULL) AS INT) AS mates,
+    CAST(floor((coalesce(f.q, 0) + coalesce(r.q, 0)) / (CAST((f IS NOT NULL) AS INT) + CAST((r IS NOT NULL) AS INT))) AS INT) AS mean_mapq,
+    CAST(floor((coalesce(f.t, 0) + coalesce(r.t, 0)) / (coalesce(f.n, 0) + coalesce(r.n, 0))) AS INT) AS mean_qual FROM firsts),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY contig, fwd_pos, rev_pos, bs_strand, mates ORDER BY mean_mapq DESC, mean_qual DESC, ord) AS rn, count(*) OVER (PARTITION BY contig, fwd_pos, rev_pos, bs_strand, mates) AS n_dup FROM %s)"""
+oracle("s01_sam_records", SAM, "SELECT ord, qname, flag, contig, pos, mapq, mate_contig, mate_pos, isize, rl AS seq_len, rl AS quals, 2 AS tags FROM fx_sam")
+oracle("s03_region_scan", f"{SAM}, {fx('fx_regions')}", "SELECT ord, contig, pos FROM fx_sam s WHERE EXISTS (SELECT 1 FROM fx_regions r WHERE r.contig = s.contig AND s.pos <= end_pos AND s.pos + span - 1 >= start_pos)")
+oracle("p03_positions", SAM, "SELECT ord, CASE WHEN NOT rev THEN pos WHEN flag & 11 = 3 THEN mate_pos ELSE 0 END AS fwd_pos, CASE WHEN rev THEN pos WHEN flag & 11 = 3 THEN mate_pos ELSE 0 END AS rev_pos FROM strands")
+oracle("p04_cigar", SAM, "SELECT ord, rl AS read_len, span AS ref_span, CAST(3 + CAST(a > 0 AS INT) + CAST(c > 0 AS INT) + CAST(e > 0 AS INT) + CAST(g > 0 AS INT) AS INT) AS ops FROM fx_sam")
+oracle("p05_aligned_bases", f"{SAM}, {sam_bases()}", "SELECT contig, p AS pos, CAST(base_ AS INT) AS base, count(*) AS n, CAST(sum(q) AS BIGINT) AS quality FROM based WHERE NOT clipped GROUP BY 1, 2, 3")
+oracle("p06_strand_tags", SAM, "SELECT CAST(strand AS INT) AS bs_strand, count(*) AS reads FROM strands GROUP BY 1")
+oracle("p10_read_positions", f"{SAM}, {sam_bases((2, 1), (0, 3))}", "SELECT CAST(second AS INT) AS is_second, CAST(read_pos AS INT) AS read_pos, CAST(trimmed AS INT) AS trimmed, count(*) AS n FROM based WHERE NOT clipped GROUP BY 1, 2, 3")
+oracle("p08_soft_clips", SAM, "SELECT contig, CAST(rev AS INT) AS is_reverse, CAST(sum(a + g) AS BIGINT) AS n FROM usable GROUP BY 1, 2 HAVING sum(a + g) > 0")
+oracle("p09_mate_overlap", f"{SAM}, {sam_bases()}, {OVERLAPS}", "SELECT contig, CAST(rev AS INT) AS is_reverse, CAST(overlap AS INT) AS overlap, count(*) AS n FROM marked WHERE NOT clipped GROUP BY 1, 2, 3")
+oracle("f04_mate_filters", SAM, "SELECT reason, count(*) AS reads, CAST(sum(rl) AS BIGINT) AS bases FROM reasons GROUP BY 1")
+oracle("a04_base_reasons", f"{SAM}, {sam_bases((2, 1), (0, 3))}, {OVERLAPS}", "SELECT CASE WHEN clipped THEN 'clipped' WHEN overlap THEN 'overlap' WHEN trimmed THEN 'trimmed' WHEN q < 20 THEN 'low_qual' ELSE 'passed' END AS reason, count(*) AS n FROM marked GROUP BY 1")
+oracle("a24_read_quality", SAM, "SELECT ord, CAST(floor(list_sum(qs) / len(qs)) AS INT) AS mean_qual FROM quals")
+oracle("p26_template_quality", f"{SAM}, {TEMPLATES % 'tpl'}", "SELECT contig, qname, coalesce(fwd_pos, 0) AS fwd_pos, coalesce(rev_pos, 0) AS rev_pos, CAST(bs_strand AS INT) AS bs_strand, mates, mean_mapq, mean_qual, ord FROM tpl")
+oracle("w02_template_duplicates", f"{SAM}, {TEMPLATES % 'tpl'}", "SELECT contig, qname, ord, n_dup FROM ranked WHERE rn = 1")
+FROM_READS = f"""{SAM}, {TEMPLATES % "(SELECT * FROM tpl WHERE mates = 2 OR NOT paired)"}, chosen AS (SELECT u.* FROM usable u JOIN ranked k ON k.contig = u.contig AND k.qname = u.qname AND rn = 1),
+  {sam_bases((2, 1), (0, 3), "chosen")}, {OVERLAPS.replace("FROM usable", "FROM chosen")}, {fx("fx_ref")},
+  fx_bases AS (SELECT m.contig, p AS pos, ref, CAST(strand AS INT) AS bs_strand, ori, mapq, CAST(q AS INT) AS qual, CAST(base_ AS INT) AS base FROM marked m JOIN fx_ref x ON x.contig = m.contig AND x.pos = m.p WHERE NOT clipped AND NOT overlap AND NOT trimmed)"""
+oracle("r01_sites_from_reads", SITES.replace(fx("fx_bases"), FROM_READS, 1), "SELECT contig, pos, dp, gt, phred, flt, filter, ft, alt FROM sites")
+
+
 oracle("f09_base_filter", fx("fx_bases"), "SELECT CASE WHEN qual < 20 THEN 'low_qual' ELSE 'passed' END AS reason, count(*) AS n FROM fx_bases GROUP BY 1")
 oracle("p12_channel", f"{fx('fx_bases')}, {CHANNELS}", "SELECT contig, pos, channel, count(*) AS n FROM ch GROUP BY 1, 2, 3")
 oracle("a01_pileup", PILE, f"SELECT contig, pos, n, {ALL16}, {', '.join(f'q{c}' for c in CH)}, mq2 FROM pile")
@@ -226,9 +280,12 @@ oracle("a11_filter_matrix", CPG, "SELECT CAST(flt & 31 AS INT) AS filters, count
 oracle("a12_coverage", f"""{CPG}, own AS (SELECT dp AS depth, count(*) AS "all", count(*) FILTER (WHERE alt <> '') AS var, count(*) FILTER (WHERE {CPGS} AND ref_cpg) AS r, count(*) FILTER (WHERE {CPGS} AND NOT ref_cpg) AS n FROM written GROUP BY 1),
   inf AS (SELECT d_inf AS depth, count(*) FILTER (WHERE ref_cpg) AS ri, count(*) FILTER (WHERE NOT ref_cpg) AS ni FROM written WHERE {CPGS} GROUP BY 1)""",
        """SELECT depth, coalesce("all", 0) AS "all", coalesce(var, 0) AS var, coalesce(r, 0) AS cpg_ref, coalesce(n, 0) AS cpg_nonref, coalesce(ri, 0) AS cpg_ref_inf, coalesce(ni, 0) AS cpg_nonref_inf FROM own FULL JOIN inf USING (depth)""")
-GC = f"{fx('fx_ref')}, gc AS (SELECT contig, CAST(floor((pos - 1) / 100) AS INT) AS bin, CAST(CASE WHEN count(*) < 100 THEN 255 ELSE count(*) FILTER (WHERE ref IN (1, 2)) END AS INT) AS gc FROM fx_ref GROUP BY 1, 2)"
-oracle("a17_gc_bins", GC, "SELECT contig, bin, gc FROM gc")
-oracle("a13_coverage_gc", f"{PILE}, {GC}", "SELECT dp, gc, count(*) AS n FROM pile JOIN gc ON gc.contig = pile.contig AND gc.bin = CAST(floor((pos - 1) / 100) AS INT) WHERE gc <= 100 GROUP BY 1, 2")
+GC = f"""{fx('fx_ref_n')}, firsts AS (SELECT contig, min(pos) AS first FROM fx_ref_n WHERE ref IS NOT NULL GROUP BY 1),
+gc AS (SELECT r.contig, CAST(floor((pos - first) / 100) AS INT) AS bin, first, CAST(CASE WHEN count(ref) < 100 THEN 255 ELSE count(*) FILTER (WHERE ref IN (1, 2)) END AS INT) AS gc
+  FROM fx_ref_n r JOIN firsts f ON f.contig = r.contig WHERE pos >= first GROUP BY 1, 2, 3)"""
+oracle("a17_gc_bins", GC, 'SELECT contig, bin, "first", gc FROM gc')
+oracle("a13_coverage_gc", f"{PILE}, {GC}", "SELECT dp, gc, count(*) AS n FROM pile JOIN gc ON gc.contig = pile.contig AND gc.bin = CAST(floor((pos - first) / 100) AS INT) WHERE gc <= 100 GROUP BY 1, 2")
+oracle("p30_gc_bin_of_site", f"{PILE}, {GC}", "SELECT pile.contig, pos, bin, gc FROM pile JOIN gc ON gc.contig = pile.contig AND pos - first >= 100 * bin AND pos - first < 100 * bin + 100")
 oracle("a14_methylation_posterior", f"""{CPG}, ab AS (SELECT contig, pos, CAST(ref_cpg AS INT) AS ref_cpg, flt, CASE cs WHEN '+' THEN c5 ELSE c6 END AS a, CASE cs WHEN '+' THEN c7 ELSE c4 END AS b FROM written WHERE {CPGS}),
   grid AS (SELECT ab.*, CAST(i AS INT) AS bin, pow(i / 100.0::DOUBLE, a) * pow(1 - i / 100.0::DOUBLE, b) AS w FROM ab, (SELECT UNNEST(generate_series(0, 100)) AS i) WHERE a + b > 0),
   shares AS (SELECT ref_cpg, bin, flt, w / sum(w) OVER (PARTITION BY contig, pos) AS p FROM grid)""",
@@ -245,7 +302,10 @@ oracle("u03_contig_difference", NAMES, "SELECT name FROM c EXCEPT SELECT name FR
 REG = f"{fx('fx_regions')}, g AS (SELECT DISTINCT 'chr1' AS contig, start_pos, end_pos + start_pos % 90 AS end_pos FROM fx_regions)"
 OVER = "(a.start_pos < b.start_pos OR (a.start_pos = b.start_pos AND a.end_pos < b.end_pos)) AND b.start_pos <= a.end_pos"
 oracle("j06_region_overlap", REG, f"SELECT a.contig, a.start_pos, a.end_pos, b.start_pos AS start2, b.end_pos AS end2 FROM g a JOIN g b ON {OVER}")
-oracle("f16_regions_kept", REG, f"SELECT * FROM g b WHERE NOT EXISTS (SELECT 1 FROM g a WHERE {OVER})")
+oracle("f16_regions_kept", f"""RECURSIVE {REG}, n AS (SELECT *, row_number() OVER (PARTITION BY contig ORDER BY start_pos, end_pos) AS i FROM g),
+  walk AS (SELECT contig, i, start_pos, end_pos, TRUE AS kept, end_pos AS reach FROM n WHERE i = 1 UNION ALL
+    SELECT n.contig, n.i, n.start_pos, n.end_pos, n.start_pos > w.reach, CASE WHEN n.start_pos > w.reach THEN n.end_pos ELSE w.reach END FROM walk w JOIN n ON n.contig = w.contig AND n.i = w.i + 1)""",
+       "SELECT contig, start_pos, end_pos FROM walk WHERE kept")
 oracle("j10_region_sites", f"{PILE}, {fx('fx_regions')}", "SELECT r.contig, start_pos, count(*) AS sites, CAST(sum(dp) AS BIGINT) AS depth FROM pile p JOIN fx_regions r ON r.contig = p.contig AND pos BETWEEN start_pos AND end_pos GROUP BY 1, 2")
 oracle("f12_emit", f"{PILE}, {fx('fx_regions')}", "SELECT contig, pos, dp FROM pile p WHERE EXISTS (SELECT 1 FROM fx_regions r WHERE r.contig = p.contig AND p.pos BETWEEN start_pos AND end_pos)")
 
@@ -262,6 +322,8 @@ oracle("p29_bins", fx("fx_snps"), "SELECT contig, pos, pos >> 6 AS bin, CAST(pos
 oracle("p27_name_split", fx("fx_snps"), "SELECT name, 'rs' AS prefix, substr(name, 3) AS digits FROM fx_snps")
 oracle("s12_snp_parse", fx("fx_snps"), "SELECT contig, pos, name FROM fx_snps")
 oracle("s13_vcf_parse", fx("fx_snps"), "SELECT contig, pos, name FROM fx_snps WHERE pos % 3 <> 0")
+oracle("s14_json_snps", f"""{fx('fx_snps')}, n AS (SELECT *, pos % 97 + CASE WHEN pos % 41 <= 50 THEN pos % 41 END AS a FROM fx_snps WHERE pos % 4 IN (2, 3)), m AS (SELECT *, a / 150.0::DOUBLE AS z FROM n)""",
+       "SELECT contig, pos, name, round(least(z, 1 - z), 6) + 0.0::DOUBLE AS maf FROM m")
 oracle("s14_json_props", "", "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
 oracle("s20_tokenise", "", "SELECT p_partkey, CAST(3 AS BIGINT) AS n, trim(p_name) AS \"first\", trim(p_type) AS \"last\" FROM part")
 oracle("u05_union_inputs", fx("fx_snps"), "SELECT contig, pos, name FROM fx_snps WHERE pos % 2 = 0 UNION SELECT contig, pos, name FROM fx_snps WHERE pos % 3 = 0")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.bases import base_letter
-from ..operators import context, contigs, filters, model, pileup, report, snps, templates
+from ..operators import alignments, cigar, context, contigs, filters, model, pileup, report, snps, templates
+from ..params import CallParams
+from ..sources import genome
 from ..streaming import batch as stream_batch
 from .fixtures import fixture, table
 
@@ -44,12 +45,16 @@ def sites(spark: SparkSession, d: str) -> DataFrame:
     return model.call_sites(bases(spark, d))
 
 
+def genotyped(spark: SparkSession, d: str) -> DataFrame:
+    return model.genotyped_sites(bases(spark, d))
+
+
 def written(spark: SparkSession, d: str) -> DataFrame:
-    return snps.written_sites(snps.lookup(sites(spark, d), known(spark, d)))
+    return model.finished_sites(snps.written_sites(snps.lookup(genotyped(spark, d), known(spark, d))))
 
 
 def cpg_sites(spark: SparkSession, d: str) -> DataFrame:
-    return snps.written_sites(snps.lookup(context.with_cpg(sites(spark, d)), known(spark, d)))
+    return model.finished_sites(snps.written_sites(snps.lookup(context.with_cpg(genotyped(spark, d)), known(spark, d))))
 
 
 # reads ---------------------------------------------------------------------------------------------
@@ -109,6 +114,101 @@ def a18_extents(spark, d):
     return reads(spark, d).groupBy("contig").agg(F.min("st").alias("start_pos"), F.max("en").alias("max_pos"), F.max("l_qseq").alias("max_len"))
 
 
+# alignments ------------------------------------------------------------------------------------------
+
+
+def sam(spark: SparkSession, d: str) -> DataFrame:
+    return genome.parse_sam(model.settled(fixture(spark, d, "fx_sam").select("ord", "value")))
+
+
+TRIMS = CallParams(left_trim=(2, 1), right_trim=(0, 3))
+
+
+@query
+def s01_sam_records(spark, d):
+    rows = sam(spark, d)
+    return rows.select("ord", "qname", "flag", "contig", "pos", "mapq", "mate_contig", "mate_pos", "isize", F.length("seq").alias("seq_len"), F.size("qual").alias("quals"), F.size("tags").alias("tags"))
+
+
+@query
+def s03_region_scan(spark, d):
+    return contigs.reads_in_regions(sam(spark, d), fixture(spark, d, "fx_regions")).select("ord", "contig", "pos")
+
+
+@query
+def p03_positions(spark, d):
+    rows = alignments.with_positions(filters.decode_flags(sam(spark, d)))
+    return rows.select("ord", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("fwd_pos", "rev_pos")])
+
+
+@query
+def p04_cigar(spark, d):
+    rows = sam(spark, d)
+    return rows.select("ord", cigar.span(F.col("cigar"), cigar.IN_READ).alias("read_len"), cigar.span(F.col("cigar"), cigar.IN_REF).alias("ref_span"), F.size("cigar").alias("ops"))
+
+
+@query
+def p05_aligned_bases(spark, d):
+    rows = cigar.aligned_bases(alignments.usable_reads(sam(spark, d)))
+    return rows.groupBy("contig", "pos", "base").agg(F.count(F.lit(1)).alias("n"), F.sum("qual").cast("long").alias("quality"))
+
+
+@query
+def p06_strand_tags(spark, d):
+    return sam(spark, d).groupBy(cigar.bisulfite_strand(F.col("tags")).alias("bs_strand")).agg(F.count(F.lit(1)).alias("reads"))
+
+
+@query
+def p10_read_positions(spark, d):
+    rows = cigar.aligned_bases(alignments.usable_reads(sam(spark, d)), TRIMS)
+    return rows.groupBy(F.col("is_second").cast("int").alias("is_second"), "read_pos", F.col("trimmed").cast("int").alias("trimmed")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def p08_soft_clips(spark, d):
+    rows = cigar.aligned_bases(alignments.usable_reads(sam(spark, d)), clips=True).filter("clipped")
+    return rows.groupBy("contig", F.col("is_reverse").cast("int").alias("is_reverse")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def p09_mate_overlap(spark, d):
+    usable = alignments.usable_reads(sam(spark, d))
+    return cigar.mark_mate_overlap(cigar.aligned_bases(usable), usable).groupBy("contig", F.col("is_reverse").cast("int").alias("is_reverse"), F.col("overlap").cast("int").alias("overlap")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def f04_mate_filters(spark, d):
+    return filters.read_filter_counts(sam(spark, d))
+
+
+@query
+def a04_base_reasons(spark, d):
+    usable = alignments.usable_reads(sam(spark, d))
+    return filters.base_filter_counts(cigar.mark_mate_overlap(cigar.aligned_bases(usable, TRIMS, clips=True), usable))
+
+
+@query
+def a24_read_quality(spark, d):
+    return sam(spark, d).select("ord", alignments.mean_quality("qual").alias("mean_qual"))
+
+
+@query
+def p26_template_quality(spark, d):
+    rows = alignments.templates(alignments.usable_reads(sam(spark, d)))
+    return rows.select("contig", "qname", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("fwd_pos", "rev_pos")], "bs_strand", "mates", "mean_mapq", "mean_qual", "ord")
+
+
+@query
+def w02_template_duplicates(spark, d):
+    return alignments.without_duplicates(alignments.templates(alignments.usable_reads(sam(spark, d)))).select("contig", "qname", "ord", "n_dup")
+
+
+@query
+def r01_sites_from_reads(spark, d):
+    rows = alignments.sites_from_reads(sam(spark, d), fixture(spark, d, "fx_ref"), TRIMS).filter("ref is not null")
+    return rows.select("contig", "pos", "dp", "gt", "phred", "flt", "filter", "ft", "alt")
+
+
 # bases and sites -------------------------------------------------------------------------------------
 
 
@@ -141,7 +241,7 @@ def p25_site_quality(spark, d):
 @query
 def m01_error_model(spark, d):
     q = bases(spark, d).select(F.col("qual").alias("q")).distinct()
-    e, k = F.least(F.pow(F.lit(10.0), -F.col("q") / 10.0), F.lit(0.5)), stats.error_k(F.col("q"))
+    e, k = F.least(F.pow(F.lit(10.0), -F.col("q") / 10.0), F.lit(0.5)), stats.error_k("q")
     return q.select("q", e.alias("e"), k.alias("k"), F.log(k).alias("ln_k"), F.log(0.5 + k).alias("ln_k_half"), F.log(1 + k).alias("ln_k_one")).select("q", *rounded("e", "k", "ln_k", "ln_k_half", "ln_k_one"))
 
 
@@ -153,13 +253,13 @@ def m02_methylation_mle(spark, d):
 
 @query
 def m03_genotype(spark, d):
-    return sites(spark, d).select("contig", "pos", "gt", "phred", "qd", *rounded(*[f"gl{g}" for g in range(10)]))
+    return model.with_phred(genotyped(spark, d)).select("contig", "pos", "gt", "phred", "qd", *rounded(*[f"gl{g}" for g in range(10)]))
 
 
 @query
 def m04_fisher(spark, d):
     rows = pileup.pileup(bases(spark, d))
-    p = stats.fisher(*[F.col(f"s{s}c{c}") for s in (0, 1) for c in (0, 1)])
+    p = stats.fisher(*[f"s{s}c{c}" for s in (0, 1) for c in (0, 1)])
     return rows.select("contig", "pos", p.alias("p")).select("contig", "pos", *rounded("p"))
 
 
@@ -170,13 +270,13 @@ def p22_strand_bias(spark, d):
 
 @query
 def p23_gl_list(spark, d):
-    rows = model.gl_list(sites(spark, d)).select("contig", "pos", F.size("gl_vcf").cast("long").alias("n"), F.element_at("gl_vcf", 1).alias("gl_ref"), F.element_at("gl_vcf", -1).alias("gl_alt"))
+    rows = model.gl_list(model.with_alleles(genotyped(spark, d))).select("contig", "pos", F.size("gl_vcf").cast("long").alias("n"), F.element_at("gl_vcf", 1).alias("gl_ref"), F.element_at("gl_vcf", -1).alias("gl_alt"))
     return rows.select("contig", "pos", "n", *rounded("gl_ref", "gl_alt"))
 
 
 @query
 def p24_counts_qualities(spark, d):
-    rows = model.mean_quality_list(sites(spark, d))
+    rows = model.mean_quality_list(genotyped(spark, d))
     return rows.select("contig", "pos", F.array_join(F.col("mc8").cast("array<string>"), ",").alias("mc8"), F.array_join(F.col("amq").cast("array<string>"), ",").alias("amq"))
 
 
@@ -187,18 +287,18 @@ def f13_site_filters(spark, d):
 
 @query
 def p13_alleles(spark, d):
-    return sites(spark, d).select("contig", "pos", "alt", "call", "mut", "cs", "iupac")
+    return model.with_alleles(genotyped(spark, d)).select("contig", "pos", "alt", "call", "mut", "cs", "iupac")
 
 
 @query
 def w03_context(spark, d):
-    called = context.called_context(sites(spark, d))
+    called = context.called_context(genotyped(spark, d))
     return called.join(context.reference_context(fixture(spark, d, "fx_ref")), ["contig", "pos"], "left")
 
 
 @query
 def w04_cpg_status(spark, d):
-    return context.with_cpg(sites(spark, d)).select("contig", "pos", "cg", F.col("ref_cpg").cast("int").alias("ref_cpg"))
+    return context.with_cpg(genotyped(spark, d)).select("contig", "pos", "cg", F.col("ref_cpg").cast("int").alias("ref_cpg"))
 
 
 @query
@@ -257,7 +357,13 @@ def a12_coverage(spark, d):
 
 @query
 def a13_coverage_gc(spark, d):
-    return report.coverage_by_gc(pileup.pileup(bases(spark, d)), contigs.gc_bins(fixture(spark, d, "fx_ref")))
+    return report.coverage_by_gc(pileup.pileup(bases(spark, d)), contigs.gc_bins(fixture(spark, d, "fx_ref_n")))
+
+
+@query
+def p30_gc_bin_of_site(spark, d):
+    rows = report.with_gc_bin(pileup.pileup(bases(spark, d)).select("contig", "pos"), contigs.gc_bins(fixture(spark, d, "fx_ref_n")))
+    return rows.select("contig", "pos", "bin", "gc")
 
 
 @query
@@ -273,7 +379,7 @@ def a16_contig_rollup(spark, d):
 
 @query
 def a17_gc_bins(spark, d):
-    return contigs.gc_bins(fixture(spark, d, "fx_ref"))
+    return contigs.gc_bins(fixture(spark, d, "fx_ref_n"))
 
 
 @query
@@ -338,12 +444,12 @@ def f12_emit(spark, d):
 
 @query
 def j09_snp_lookup(spark, d):
-    return snps.lookup(sites(spark, d), known(spark, d)).select("contig", "pos", "id", "rs_found")
+    return snps.lookup(pileup.pileup(bases(spark, d)).select("contig", "pos"), known(spark, d))
 
 
 @query
 def f11_homref_skip(spark, d):
-    return written(spark, d).select("contig", "pos", "gt", "rs_found")
+    return snps.written_sites(snps.lookup(genotyped(spark, d), known(spark, d))).select("contig", "pos", "gt", "rs_found")
 
 
 @query
@@ -381,8 +487,7 @@ def w09_bitmap_rank(spark, d):
 
 @query
 def w08_bin_delta(spark, d):
-    rows = snps.bitmaps(known(spark, d))
-    return rows.select("contig", "bin", (F.col("bin") - F.coalesce(F.lag("bin").over(W.partitionBy("contig").orderBy("bin")), F.lit(0))).cast("long").alias("delta"))
+    return snps.bin_deltas(known(spark, d))
 
 
 @query
@@ -412,6 +517,23 @@ def s13_vcf_parse(spark, d):
     return snpfiles.parse_vcf(lines)
 
 
+def snp_objects(spark: SparkSession, d: str) -> DataFrame:
+    """Known SNPs as JSON objects: a placement that is not preferred, one that is, and frequencies of
+    which some don't count."""
+    spdi = lambda contig, pos, old, new: f"""{{"allele":{{"spdi":{{"seq_id":"', {contig}, '","position":', {pos}, ',"deleted_sequence":"{old}","inserted_sequence":"{new}"}}}}}}"""
+    seen = lambda a, n, new: f"""{{"study_name":"s","allele_count":', {a}, ',"total_count":', {n}, ',"observation":{{"deleted_sequence":"A","inserted_sequence":"{new}"}}}}"""
+    last = "', CASE WHEN pos % 4 = 0 THEN 'GT' WHEN pos % 4 = 1 THEN 'A' ELSE 'G' END, '"
+    text = f"""concat('{{"refsnp_id":"', substr(name, 3), '","primary_snapshot_data":{{"placements_with_allele":[{{"is_ptlp":false,"alleles":[{spdi("'other'", "1", "C", "T")}]}},
+      {{"is_ptlp":true,"alleles":[{spdi("contig", "pos - 1", "A", "A")},{spdi("contig", "pos - 1", "A", last)}]}}],
+      "allele_annotations":[{{"frequency":[{seen("pos % 97", "100", "G")},{seen("120", "100", "G")}]}},{{"frequency":[{seen("pos % 41", "50", "C")},{seen("1", "9", "GG")},{seen("1", "9", "A")}]}}]}}}}') AS value"""
+    return fixture(spark, d, "fx_snps").selectExpr(text.replace("\n", ""))
+
+
+@query
+def s14_json_snps(spark, d):
+    return snps.from_json_objects(snp_objects(spark, d)).select("contig", "pos", "name", *rounded("maf"))
+
+
 @query
 def s14_json_props(spark, d):
     rows = table(spark, d, "events").select(F.from_json("props", "k long").alias("p"))

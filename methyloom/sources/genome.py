@@ -37,14 +37,19 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of a SAM text file in the canonical form: ord, qname, flag, contig, pos, mapq,
-    mate_contig, mate_pos, isize, cigar, seq, qual (array) and tags (array of tag, value)."""
-    lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()).filter(~F.startswith("value", F.lit("@")))
+    """Alignments of a SAM text file, compressed or not, in the form of :func:`parse_sam`; ord is the order in the file."""
+    return parse_sam(spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()))
+
+
+def parse_sam(lines: DataFrame) -> DataFrame:
+    """SAM lines (ord, value) as ord, qname, flag, contig, pos, mapq, mate_contig, mate_pos, isize, cigar,
+    seq, qual (array) and tags (array of tag, value). Header lines and lines of fewer than eleven fields go."""
+    lines = lines.filter(~F.startswith("value", F.lit("@")))
     f = lambda i: F.get("f", F.lit(i))
     rows = lines.select("ord", F.split("value", "\t").alias("f")).filter(F.size("f") >= 11)
     mate = F.when(f(6) == "=", f(2)).otherwise(f(6))
     quality = F.when(f(10) == "*", F.expr("cast(array() as array<int>)")).otherwise(F.transform(F.split(f(10), ""), lambda c: F.ascii(c) - 33))
-    tags = F.transform(F.slice("f", 12, F.size("f")), lambda t: F.struct(F.substring(t, 1, 2).alias("tag"), F.substring(t, 6, 1 << 20).alias("value")))
+    tags = F.transform(F.slice("f", 12, F.size("f")), lambda t: F.struct(F.substring(t, 1, 2).alias("tag"), F.substr(t, F.lit(6)).alias("value")))
     return rows.select("ord", f(0).alias("qname"), f(1).cast("int").alias("flag"), f(2).alias("contig"), f(3).cast("long").alias("pos"), f(4).cast("int").alias("mapq"), mate.alias("mate_contig"), f(7).cast("long").alias("mate_pos"), f(8).cast("int").alias("isize"), parse_cigar(f(5)).alias("cigar"), f(9).alias("seq"), quality.alias("qual"), tags.alias("tags"))
 
 
@@ -52,7 +57,7 @@ def read_header(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Contigs (name, length, assembly, md5, species) and read groups (bc, sm, ds; one of each barcode)
     of a SAM header."""
     lines = spark.read.text(path).withColumn("ord", F.monotonically_increasing_id()).filter(F.startswith("value", F.lit("@")))
-    keyed = lines.select("ord", F.substring("value", 1, 3).alias("kind"), F.expr(r"map_from_entries(transform(filter(slice(split(value, '\t'), 2, 100), x -> instr(x, ':') > 0), x -> struct(substring(x, 1, 2), substring(x, 4))))").alias("m"))
+    keyed = lines.select("ord", F.substring("value", 1, 3).alias("kind"), F.expr(r"map_from_entries(transform(filter(slice(split(value, '\t'), 2, size(split(value, '\t'))), x -> instr(x, ':') > 0), x -> struct(substring(x, 1, 2), substring(x, 4))))").alias("m"))
     get = lambda k: F.try_element_at("m", F.lit(k))
     contigs = keyed.filter("kind = '@SQ'").select((F.row_number().over(W.orderBy("ord")) - 1).alias("ix"), get("SN").alias("name"), get("LN").cast("long").alias("length"), get("AS").alias("assembly"), get("M5").alias("md5"), get("SP").alias("species"))
     groups = keyed.filter("kind = '@RG'").select("ord", get("BC").alias("bc"), get("SM").alias("sm"), get("DS").alias("ds"))

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.templates import carried
+
+STRETCH = 1 << 16
 GAP = "30 minutes"
 LATENESS = "10 minutes"
 
@@ -23,9 +26,13 @@ def sessions(events: DataFrame, gap: str = GAP) -> DataFrame:
 
 def late_events(events: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """event_type, late and n: events, in order of event_id, further behind their user's newest event
-    so far than the allowed lateness."""
-    before = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)
-    rows = events.withColumn("late", F.coalesce(F.col("ts") < F.max("ts").over(before) - F.expr(f"interval {lateness}"), F.lit(False)))
+    so far than the allowed lateness. Windows hold a stretch of a user's events; the newest of earlier
+    stretches is carried in."""
+    rows = events.withColumn("_stretch", F.floor(F.col("event_id") / STRETCH))
+    rows, before = carried(rows, F.col("ts"), F.max, F.max, by="user_id")
+    own = W.partitionBy("user_id", "_stretch").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)
+    newest = F.greatest(before, F.max("ts").over(own))
+    rows = rows.withColumn("late", F.coalesce(F.col("ts") < newest - F.expr(f"interval {lateness}"), F.lit(False)))
     return rows.groupBy("event_type").agg(F.count_if("late").alias("late"), F.count(F.lit(1)).alias("n"))
 
 
