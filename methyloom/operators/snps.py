@@ -38,10 +38,11 @@ def rename_contigs(snps: DataFrame, aliases: DataFrame) -> DataFrame:
     return snps.join(first, snps["contig"] == first["alias"]).drop("contig", "alias").withColumnRenamed("_name", "contig")
 
 
-def one_per_position(snps: DataFrame, order: str = "name") -> DataFrame:
-    """The first SNP of each position by ``order`` (the order of reading, if there is a column of it)."""
-    rest = [c for c in snps.columns if c not in ("contig", "pos", order)]
-    return snps.groupBy("contig", "pos").agg(F.min(F.struct(order, *rest)).alias("s")).select("contig", "pos", "s.*")
+def one_per_position(snps: DataFrame) -> DataFrame:
+    """The first SNP of each position: the first read where there is a column ord, then by name."""
+    order = [c for c in ("ord", "name") if c in snps.columns]
+    rest = [c for c in snps.columns if c not in ("contig", "pos", *order)]
+    return snps.groupBy("contig", "pos").agg(F.min(F.struct(*order, *rest)).alias("s")).select("contig", "pos", "s.*")
 
 
 def bitmaps(snps: DataFrame) -> DataFrame:
@@ -68,9 +69,11 @@ def bitmap_rank(snps: DataFrame) -> DataFrame:
 
 
 def index_totals(snps: DataFrame) -> DataFrame:
-    """Of each contig: SNPs, flagged ones, first and last bin, and distinct name prefixes."""
+    """Of each contig: SNPs, flagged ones, first and last bin, distinct name prefixes, and the most SNPs of a bin."""
     rows = split_name(with_bin(one_per_position(snps)))
-    return rows.groupBy("contig").agg(F.count(F.lit(1)).alias("snps"), F.count_if("flagged").alias("flagged"), F.min("bin").alias("min_bin"), F.max("bin").alias("max_bin"), F.count_distinct("prefix").alias("prefixes"))
+    largest = rows.groupBy("contig", "bin").agg(F.count(F.lit(1)).alias("n")).groupBy("contig").agg(F.max("n").alias("largest_bin"))
+    totals = rows.groupBy("contig").agg(F.count(F.lit(1)).alias("snps"), F.count_if("flagged").alias("flagged"), F.min("bin").alias("min_bin"), F.max("bin").alias("max_bin"), F.count_distinct("prefix").alias("prefixes"))
+    return totals.join(largest, "contig")
 
 
 def lookup(sites: DataFrame, snps: DataFrame) -> DataFrame:

@@ -25,6 +25,16 @@ def pair_mates(reads: DataFrame, keys: list[str] = ["contig", "qname"], block: b
     )
 
 
+def out_of_order(reads: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """Reads that begin before one read earlier (by ord) on their contig. Running values go over
+    stretches of ord."""
+    rows = reads.withColumn("_stretch", F.floor(F.col("ord") / stretch))
+    rows, before = carried(rows, F.col("pos"), F.max, F.max)
+    own = W.partitionBy("contig", "_stretch").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("_newest", F.greatest(before, F.max("pos").over(own)))
+    return rows.filter("pos < _newest").drop("_stretch", "_before", "_newest")
+
+
 def unmatched(reads: DataFrame) -> DataFrame:
     """Reads without a mate of the other direction under the same name and contig."""
     mates = reads.select("contig", "qname", (1 - F.col("is_reverse")).alias("is_reverse")).distinct()

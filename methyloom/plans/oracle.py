@@ -315,7 +315,7 @@ oracle("f19_maf_flag", fx("fx_snps"), "SELECT contig, pos, name, CAST(maf >= 0.2
 oracle("j12_alias", f"{fx('fx_snps')}, al AS (SELECT concat('chr', n_nationkey % 4 + 1) AS alias, arg_min(n_name, n_nationkey) AS name FROM nation GROUP BY 1)", "SELECT al.name AS contig, pos, s.name AS snp FROM fx_snps s JOIN al ON alias = contig")
 oracle("j13_selected", fx("fx_snps"), "SELECT contig, count(*) AS n FROM fx_snps WHERE pos % 3 = 0 GROUP BY 1")
 oracle("a21_snp_bitmap", SNP, "SELECT contig, pos >> 6 AS bin, count(*) AS bits, count(*) FILTER (WHERE flagged) AS fq_bits, count(*) AS n FROM snp GROUP BY 1, 2")
-oracle("a22_index_totals", SNP, "SELECT contig, count(*) AS snps, count(*) FILTER (WHERE flagged) AS flagged, min(pos >> 6) AS min_bin, max(pos >> 6) AS max_bin, count(DISTINCT regexp_replace(name, '[0-9]+$', '')) AS prefixes FROM snp GROUP BY 1")
+oracle("a22_index_totals", SNP, "SELECT contig, count(*) AS snps, count(*) FILTER (WHERE flagged) AS flagged, min(pos >> 6) AS min_bin, max(pos >> 6) AS max_bin, count(DISTINCT regexp_replace(name, '[0-9]+$', '')) AS prefixes, max(in_bin) AS largest_bin FROM (SELECT *, count(*) OVER (PARTITION BY contig, pos >> 6) AS in_bin FROM snp) GROUP BY 1")
 oracle("w09_bitmap_rank", SNP, "SELECT contig, pos, CAST(row_number() OVER (PARTITION BY contig, pos >> 6 ORDER BY pos) - 1 AS INT) AS rank FROM snp")
 oracle("w08_bin_delta", SNP, "SELECT contig, bin, bin - coalesce(lag(bin) OVER (PARTITION BY contig ORDER BY bin), 0) AS delta FROM (SELECT DISTINCT contig, pos >> 6 AS bin FROM snp)")
 oracle("p29_bins", fx("fx_snps"), "SELECT contig, pos, pos >> 6 AS bin, CAST(pos & 63 AS INT) AS \"offset\" FROM fx_snps")
@@ -326,7 +326,19 @@ oracle("s14_json_snps", f"""{fx('fx_snps')}, n AS (SELECT *, pos % 97 + CASE WHE
        "SELECT contig, pos, name, round(least(z, 1 - z), 6) + 0.0::DOUBLE AS maf FROM m")
 oracle("s14_json_props", "", "SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
 oracle("s20_tokenise", "", "SELECT p_partkey, CAST(3 AS BIGINT) AS n, trim(p_name) AS \"first\", trim(p_type) AS \"last\" FROM part")
-oracle("u05_union_inputs", fx("fx_snps"), "SELECT contig, pos, name FROM fx_snps WHERE pos % 2 = 0 UNION SELECT contig, pos, name FROM fx_snps WHERE pos % 3 = 0")
+oracle("u05_union_inputs", fx("fx_snps"), "SELECT contig, pos, CASE WHEN pos % 2 = 0 THEN name ELSE concat('a', name) END AS name FROM fx_snps WHERE pos % 2 = 0 OR pos % 3 = 0")
+oracle("s16_alias_file", "", "SELECT concat('r', n_regionkey) AS alias, arg_min(n_name, n_nationkey) AS name FROM nation WHERE n_nationkey > 2 GROUP BY 1")
+oracle("s17_selected_names", fx("fx_snps"), "SELECT DISTINCT substr(name, 1, 4) AS name FROM fx_snps")
+oracle("s20_white_space", "", "SELECT p_partkey, CAST(len(string_split(p_type, ' ')) + 1 AS BIGINT) AS n, p_brand AS \"last\" FROM part")
+oracle("s04_header", "", "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INT) AS ix, n_name AS name, CAST(n_nationkey * 100 + 7 AS BIGINT) AS length, CASE WHEN n_nationkey % 2 = 0 THEN concat('x:', n_regionkey) ELSE '-' END AS species FROM nation")
+oracle("s06_fasta", fx("fx_ref_n"), "SELECT contig, pos, ref FROM fx_ref_n WHERE ref IS NOT NULL")
+oracle("s07_reference_string", fx("fx_ref_n", "fx_regions"), """SELECT r.contig, start_pos, start_pos + 9 AS end_pos, string_agg(coalesce(substr('ACGT', ref + 1, 1), 'N'), '' ORDER BY i) AS letters
+  FROM (SELECT *, UNNEST(range(10)) AS i FROM fx_regions) r LEFT JOIN fx_ref_n x ON x.contig = r.contig AND x.pos = start_pos + i GROUP BY 1, 2, 3""")
+oracle("s08_contig_sizes", "", "SELECT n_name AS name FROM nation")
+oracle("s09_contig_bed", "", "SELECT n_name AS contig, CAST(n_nationkey * 10 + 1 AS BIGINT) AS start_pos, CAST(n_nationkey * 10 + n_regionkey AS BIGINT) AS end_pos FROM nation WHERE n_nationkey % 6 <> 0 AND n_regionkey > 0")
+oracle("f17_regions_at_ends", f"{fx('fx_ref', 'fx_regions')}, sizes AS (SELECT contig, max(pos) - 30 AS n FROM fx_ref GROUP BY 1)", "SELECT r.contig, start_pos, least(end_pos, n) AS end_pos, CAST(end_pos > n AS INT) AS beyond FROM fx_regions r JOIN sizes s ON s.contig = r.contig WHERE start_pos <= n")
+oracle("j07_contig_ids", READS, "SELECT contig, CAST(substr(contig, 4) AS INT) AS ix, count(*) AS reads FROM fx_reads WHERE contig <> 'chr2' GROUP BY 1, 2")
+oracle("o01_out_of_order", SAM, "SELECT ord, contig, pos FROM (SELECT *, max(pos) OVER (PARTITION BY contig ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM fx_sam) WHERE pos < newest")
 oracle("u06_distinct", fx("fx_snps"), "SELECT count(DISTINCT name) AS names, count(DISTINCT contig || '/' || pos) AS positions, count(DISTINCT contig) AS contigs FROM fx_snps")
 
 oracle("st1_session_blocks", "", """SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n, round(sum(value), 4) AS total FROM (

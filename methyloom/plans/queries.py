@@ -135,6 +135,57 @@ def s03_region_scan(spark, d):
     return contigs.reads_in_regions(sam(spark, d), fixture(spark, d, "fx_regions")).select("ord", "contig", "pos")
 
 
+@query
+def o01_out_of_order(spark, d):
+    return templates.out_of_order(sam(spark, d)).select("ord", "contig", "pos")
+
+
+@query
+def s04_header(spark, d):
+    text = F.concat_ws("\t", F.lit("@SQ"), F.concat(F.lit("SN:"), "n_name"), F.concat(F.lit("LN:"), (F.col("n_nationkey") * 100 + 7).cast("string")), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("SP:x:"), F.col("n_regionkey").cast("string"))))
+    found, _ = genome.parse_header(table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("ord"), text.alias("value")))
+    return found.select("ix", "name", "length", F.coalesce("species", F.lit("-")).alias("species"))
+
+
+@query
+def s06_fasta(spark, d):
+    bases_ = fixture(spark, d, "fx_ref_n").withColumn("row", F.floor((F.col("pos") - 1) / 50))
+    letters = F.array_sort(F.collect_list(F.struct("pos", base_letter(F.col("ref")).alias("l"))))
+    lines = bases_.groupBy("contig", "row").agg(F.array_join(F.transform(letters, lambda x: x["l"]), "").alias("value"))
+    both = lines.unionByName(lines.select("contig").distinct().select("contig", F.lit(-1).cast("long").alias("row"), F.concat(F.lit(">"), "contig", F.lit(" of > letters")).alias("value")))
+    number = F.substring("contig", 4, 9).cast("long")
+    return genome.parse_fasta(both.select(F.lit("f").alias("file"), (number * 1000 + F.floor(F.col("row") / 3)).alias("part"), "row", "value").withColumnRenamed("row", "ord")).filter("ref is not null")
+
+
+@query
+def s07_reference_string(spark, d):
+    return genome.reference_string(fixture(spark, d, "fx_ref_n"), fixture(spark, d, "fx_regions").withColumn("end_pos", F.col("start_pos") + 9))
+
+
+@query
+def s08_contig_sizes(spark, d):
+    return genome.parse_sizes(table(spark, d, "nation").select(F.concat(F.lit(" "), "n_name", F.lit("\t"), F.col("n_nationkey").cast("string")).alias("value")))
+
+
+@query
+def s09_contig_bed(spark, d):
+    end = F.col("n_nationkey") * 10 + F.col("n_regionkey")
+    text = F.concat_ws("\t", "n_name", (F.col("n_nationkey") * 10).cast("string"), F.when(F.col("n_nationkey") % 6 != 0, end.cast("string")))
+    return genome.parse_regions(table(spark, d, "nation").select(text.alias("value")))
+
+
+@query
+def f17_regions_at_ends(spark, d):
+    sizes = fixture(spark, d, "fx_ref").groupBy(F.col("contig").alias("name")).agg((F.max("pos") - 30).alias("length"))
+    return contigs.clamped_regions(fixture(spark, d, "fx_regions"), sizes).withColumn("beyond", F.col("beyond").cast("int"))
+
+
+@query
+def j07_contig_ids(spark, d):
+    header = table(spark, d, "nation").select(F.concat(F.lit("chr"), F.col("n_nationkey").cast("string")).alias("name"), F.col("n_nationkey").cast("int").alias("ix")).filter("ix <> 2")
+    return contigs.with_contig_ids(reads(spark, d), header).groupBy("contig", "ix").agg(F.count(F.lit(1)).alias("reads"))
+
+
 @query
 def p03_positions(spark, d):
     rows = alignments.with_positions(filters.decode_flags(sam(spark, d)))
@@ -548,10 +599,35 @@ def s20_tokenise(spark, d):
     return rows.select("p_partkey", F.size("t").cast("long").alias("n"), F.get("t", F.lit(0)).alias("first"), F.get("t", F.lit(2)).alias("last"))
 
 
+@query
+def s16_alias_file(spark, d):
+    from ..sources import snpfiles
+
+    lines = table(spark, d, "nation").select(F.col("n_nationkey").alias("ord"), F.concat_ws("\t", F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit(" ")), F.when(F.col("n_nationkey") > 2, F.col("n_name"))).alias("value"))
+    rows = snpfiles.parse_aliases(lines)
+    return rows.groupBy("alias").agg(F.min_by("name", "ord").alias("name"))
+
+
+@query
+def s17_selected_names(spark, d):
+    from ..sources import snpfiles
+
+    return snpfiles.parse_names(fixture(spark, d, "fx_snps").select(F.concat(F.lit("  "), F.substring("name", 1, 4), F.lit("\t"), F.col("contig")).alias("value")))
+
+
+@query
+def s20_white_space(spark, d):
+    from ..sources import snpfiles
+
+    rows = table(spark, d, "part").select("p_partkey", snpfiles.tokens(F.concat(F.lit("  "), "p_type", F.lit(" \t "), "p_brand"), None).alias("t"))
+    return rows.select("p_partkey", F.size("t").cast("long").alias("n"), F.element_at("t", -1).alias("last"))
+
+
 @query
 def u05_union_inputs(spark, d):
     rows = fixture(spark, d, "fx_snps")
-    both = rows.filter("pos % 2 = 0").unionByName(rows.filter("pos % 3 = 0"))
+    second = rows.filter("pos % 3 = 0").withColumns({"name": F.concat(F.lit("a"), "name"), "ord": F.lit(1)})
+    both = second.unionByName(rows.filter("pos % 2 = 0").withColumn("ord", F.lit(0)))
     return snps.one_per_position(both).select("contig", "pos", "name")
 
 
