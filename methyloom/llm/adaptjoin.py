@@ -165,23 +165,23 @@ def _sets(docs: DataFrame, width: int, sketch: np.ndarray, load: int, percent: i
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in chunks(frames, "text", 1_000_000):
             rows = []
-            for doc_id, own in zip(part["doc_id"], shingle_sets(list(part["text"]), width)):
+            for doc_id, th, own in zip(part["doc_id"], part["th"], shingle_sets(list(part["text"]), width)):
                 keys, match = prefix(own, sketch, load, percent) if len(own) else (np.empty(0, np.int64), 0)
-                rows.append((doc_id, len(own), class_id(own) if len(own) else 0, keys, match))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "cid", "keys", "l"]).astype({"doc_id": "Int64"})
+                rows.append((doc_id, th, len(own), class_id(own) if len(own) else 0, keys, match))
+            yield pd.DataFrame(rows, columns=["doc_id", "th", "n", "cid", "keys", "l"]).astype({"doc_id": "Int64"})
 
-    return over_texts(docs.select("doc_id", "text"), run, "doc_id long, n long, cid long, keys array<long>, l int")
+    return over_texts(docs.select("doc_id", "th", "text"), run, "doc_id long, th long, n long, cid long, keys array<long>, l int")
 
 
 def _texts_of(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """cid and set of the documents in ``wanted`` (doc_id)."""
+    """cid and set of the texts in ``wanted`` (th, their hashes)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in chunks(frames, "text", 1_000_000):
             sets = shingle_sets(list(part["text"]), width)
             yield pd.DataFrame({"cid": [class_id(x) if len(x) else 0 for x in sets], "own": [x.astype(np.int64) for x in sets]})
 
-    rows = touched(docs.select("doc_id", "text"), wanted, "doc_id").join(wanted, "doc_id", "left_semi")
+    rows = touched(docs.select("th", "text"), wanted, "th").join(wanted, "th", "left_semi")
     return over_texts(rows.select("text"), run, "cid long, own array<long>")
 
 
@@ -259,29 +259,40 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     """doc_id, n_shingles, component_id and n_links of every row of ``docs`` (doc_id, text).
 
     Texts without words (null ones too) have no shingles, no links and their own doc_id as component.
-    n_links counts the other classes that a row's class is linked to, all of them. Rows that repeat a doc_id each get their own text's result.
+    n_links counts the other classes that a row's class is linked to, all of them. Rows that repeat a
+    doc_id, or have none, each get their own text's result.
     """
+    members = jaccard_members(docs, width, percent)
+    first = members.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("first"))
+    return members.join(first, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def jaccard_members(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, th (the text's 64-bit hash), n (shingles), comp (a number of the component, null without
+    shingles) and n_links (null for none) of every row of ``docs``."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     sketch, load = frequency_sketch(docs, width)
     found = stored(_sets(docs, width, sketch, load, percent), "sets")
-    classes = found.filter("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("keys").alias("keys"))
+    classes = found.filter("n > 0").groupBy("cid").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("keys").alias("keys"))
     classes, every = stored(classes, "classes"), found
-    found = stored(found.select("doc_id", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid")), "members")
+    found = stored(found.select("doc_id", "th", "n", F.when(F.col("n") > 0, F.col("cid")).alias("cid")), "members")
     dropped(every)
 
     entries = classes.select(F.explode("keys").alias("key"), "cid")
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     mine = entries.join(shared, "key").groupBy("cid").agg(F.collect_list("key").alias("mine"))
     most = F.floor(F.col("n") * (100 - percent) / percent)
-    own = classes.join(mine, "cid").select("cid", "doc_id", "n", "l", F.element_at("keys", -1).alias("last"), "mine", F.array_except("keys", "mine").alias("alone"))
+    own = classes.join(mine, "cid").select("cid", "th", "n", "l", F.element_at("keys", -1).alias("last"), "mine", F.array_except("keys", "mine").alias("alone"))
     own, every = stored(own.withColumn("strong", F.size("alone") <= most), "classes"), classes
     dropped(every)
 
     # a pair needs a strong class, and the partner's prefix ends no earlier than its
-    rows = own.select("cid", "doc_id", "n", "l", "last", "strong", F.size("alone").alias("alone_n"), F.explode("mine").alias("key"))
+    rows = own.select("cid", "th", "n", "l", "last", "strong", F.size("alone").alias("alone_n"), F.explode("mine").alias("key"))
     ends = rows.groupBy("key").agg(F.min(F.when(F.col("strong"), F.col("last"))).alias("first_end"), F.count(F.lit(1)).alias("c")).filter("first_end is not null and c > 1")
     index = stored(rows.join(ends, "key").filter("strong or last >= first_end").drop("first_end", "c"), "entries")
-    sets = stored(_texts_of(docs, width, index.select("doc_id").distinct()), "compared")
-    index = index.drop("doc_id").withColumn("band", F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int"))
+    # texts of equal sets have one class; of each class one text is asked for
+    sets = stored(_texts_of(docs, width, index.select("th").distinct()), "compared")
+    index = index.drop("th").withColumn("band", F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int"))
 
     near = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
     links, known = None, None
@@ -317,14 +328,22 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     small = rows.filter(f"size <= {SMALL_ENTRY}")
     few = small.join(second(small, "cid", "comp", "n", "last"), "key").filter(first).select("cid", "cid2", "n", "n2", "l", "last", "alone_n").distinct()
     few = few.join(arrays.select("cid", "mine"), "cid").join(second(arrays, "cid", "mine", "every", "some"), "cid2").filter(exact).select("cid", "cid2")
-    # large entries carry the keys, and a pair counts at its first common key only
-    large = rows.filter(f"size > {SMALL_ENTRY}").drop("size").join(arrays, "cid").repartition("key")
-    many = large.join(second(large, "cid", "comp", "n", "last", "mine", "every", "some"), "key").filter(f"{first} and {unshared} <= {allowed} and array_min({common}) = key and {exact}").select("cid", "cid2")
+    # large entries carry the keys, and a pair counts at its first common key only; the component that
+    # most members of an entry belong to is joined with the other members, never with itself
+    large = rows.filter(f"size > {SMALL_ENTRY}").drop("size")
+    main = large.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp")).alias("s")).select("key", F.col("s.comp").alias("main"))
+    large = large.join(main, "key").join(arrays, "cid").repartition("key")
+    others = large.filter("comp <> main")
+
+    def tested(one: DataFrame, two: DataFrame) -> DataFrame:
+        both = one.join(second(two, "cid", "comp", "n", "last", "mine", "every", "some"), "key")
+        return both.filter(f"{first} and {unshared} <= {allowed} and array_min({common}) = key and {exact}").select("cid", "cid2")
+
+    many = tested(others, large).unionByName(tested(large.filter("comp = main"), others))
     pairs = stored(few.unionByName(many).select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct(), "pairs")
     links = stored(links.unionByName(_verified(pairs, sets, percent)).distinct(), "links")
     known = components(links).select(F.col("id").alias("cid"), "component")
 
     degree = _degrees(known, sets.dropDuplicates(["cid"]), percent)
-    members = found.select("doc_id", "n", "cid").join(known, "cid", "left").join(degree, "cid", "left").withColumn("comp", F.coalesce("component", "cid"))
-    first = members.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("first"))
-    return members.join(first, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    members = found.select("doc_id", "th", "n", "cid").join(known, "cid", "left").join(degree, "cid", "left")
+    return members.select("doc_id", "th", "n", F.coalesce("component", "cid").alias("comp"), "n_links")

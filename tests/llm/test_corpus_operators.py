@@ -236,6 +236,15 @@ def test_words_of_regular_patterns_differ(spark):
     assert [r.n_removed for r in pfpdedup.remove_repeats(docs(spark, text), 2048).collect()] == [0, 0]
 
 
+def test_classes_without_doc_id(spark):
+    rng = random.Random(33)
+    text = prose(rng, 60, [f"w{k}" for k in range(300)])
+    rows = [(None, text), (None, f"{text} more"), (3, f"more {text}"), (None, prose(rng, 60, ["x", "y", "z"]))]
+    got = adaptjoin.jaccard_members(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    comps = collections.Counter(r.comp for r in got)
+    assert sorted(comps.values()) == [1, 3] and sorted(r.n_links or 0 for r in got) == [0, 2, 2, 2]
+
+
 def test_components_of_a_long_chain(spark):
     df = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(5, 5), (3, 2), (200, 100)], "a long, b long")
     got = {r.id: r.component for r in components(df).collect()}

@@ -60,3 +60,23 @@ def test_stages(spark, tmp_path):
         ids = np.array(known.encode_ordinary(kept[i]), "<u4")
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(kept[i].encode()).hexdigest())
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(out["byte_bpe"])
+
+
+def test_near_duplicates_by_text(spark):
+    """Rows that repeat a doc_id, or lack one, are told apart by their texts."""
+    rng = random.Random(4)
+    vocabulary = [f"w{k}" for k in range(300)]
+    one, two, three = (prose(rng, 80, vocabulary) for _ in range(3))
+    near = one.replace(one.split()[40], "changed", 1)
+    rows = [(5, one), (5, two), (5, two), (None, near), (None, three), (7, three), (8, None), (8, None), (9, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(None, near), (5, two), (None, three), (8, None), (8, None), (9, ""), (None, None)], key=str)
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_empty_tables(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, "some words of an item")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0
