@@ -46,6 +46,9 @@ class RunEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        # runs are cut at white space; tokens added by hand may reach across that, then whole texts are encoded
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.whole = any(t.lstrip or t.rstrip or t.single_word or t.normalized or t.content.split() != [t.content] for t in added)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
@@ -70,7 +73,7 @@ class RunEncoder:
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         tail, out = array(self.code, [end]).tobytes(), []
         for at in range(0, len(texts), 512):
-            runs = [word_runs(text) for text in texts[at : at + 512]]
+            runs = [[text] * bool(text) if self.whole else word_runs(text) for text in texts[at : at + 512]]
             coded = [list(map(self.known.get, part)) for part in runs]
             holes = [(part, got, [i for i, x in enumerate(got) if x is None]) for part, got in zip(runs, coded) if None in got]
             new = {part[i] for part, _, at_i in holes for i in at_i}
