@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from methyloom.llm import adaptjoin, cgkdecon, crflang, linedup, segbpe
-from methyloom.llm.common import documents, fresh_path
+from methyloom.llm.common import documents, fresh_path, stored
 from methyloom.llm.queries import PATTERN, RANKS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -33,14 +33,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest doc_id of each group of near copies (five-word shingles,
-    similarity 0.8). Rows that repeat a kept doc_id are told apart by their texts, one of each stays."""
-    groups = adaptjoin.jaccard_components(docs, width=5, percent=80)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"))
-    kept = kept.withColumnRenamed("doc_id", "_kept")
-    rows = docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")))
+    """Keep one document of each group of near copies (five-word shingles, similarity 0.8): the one of
+    the smallest doc_id. Rows are found again by doc_id and text, so of rows that repeat a doc_id, or
+    have none, each stays or goes by its own text; of rows equal in both one stays. Texts without words stay."""
+    members = adaptjoin.jaccard_members(docs, width=5, percent=80).select("doc_id", "th", "comp")
+    first = members.filter("comp is not null").groupBy("comp", "doc_id", "th").agg(F.count(F.lit(1)).alias("c"))
+    first = first.groupBy("comp").agg(F.min(F.struct("doc_id", "th", "c")).alias("s")).select("s.*")
+    alone = members.filter("comp is null").select("doc_id", "th").distinct().withColumn("c", F.lit(1).cast("long"))
+    kept = stored(first.unionByName(alone), "kept").withColumnsRenamed({"doc_id": "_kept", "th": "_hash"})
+    same = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_th") == F.col("_hash"))
+    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("_th")).join(kept, same)
     if not kept.filter("c > 1").isEmpty():
-        rows = rows.filter("c = 1").unionByName(rows.filter("c > 1").dropDuplicates(["doc_id", "text"]))
+        rows = rows.filter("c = 1").unionByName(rows.filter("c > 1").dropDuplicates(["doc_id", "_th"]))
     return rows.select(*COLUMNS)
 
 
