@@ -28,11 +28,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, over_texts, releasing
+from .common import bounded_batches, chunks, over_texts, release, releasing
 
 BUCKETS = 1 << 17
 SAMPLE_DOCS = 800
-SAMPLE_CHARS = 4_000_000
+SAMPLE_CHARS = 1_200_000
 EPOCHS = 14
 RATE = 0.4
 PENALTY = 1e-5
@@ -188,7 +188,9 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAM
     if not keys:
         return train([], [])
     texts = rows.filter(F.col("h").isin(keys)).groupBy("h").agg(F.min(F.struct("text", "lang")).alias("s")).orderBy("h").collect()
-    return train([r["s"]["text"] for r in texts], [r["s"]["lang"] for r in texts])
+    model = train([r["s"]["text"] for r in texts], [r["s"]["lang"] for r in texts])
+    release()
+    return model
 
 
 class Labeller:
@@ -242,7 +244,8 @@ def predicted(model: Model, text: str = "text") -> Column:
     def label(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from whole(columns)
 
-    return F.pandas_udf(label, "lang_pred string, score double")(F.col(text))
+    # called non-deterministic, so that it runs once a row however often its fields are used
+    return F.pandas_udf(label, "lang_pred string, score double").asNondeterministic()(F.col(text))
 
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
