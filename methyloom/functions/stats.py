@@ -14,9 +14,10 @@ def ln_factorials(*terms: tuple[int, str]) -> str:
     """SQL of the sum of sign * ln n! over (sign, n): a table below TABLE, Stirling's series (error
     under 1e-13) from there. One expression for all terms, so the table stands in it once."""
     table = ", ".join(f"{math.lgamma(i + 1)!r}D" for i in range(TABLE))
-    series = f"(x.n + 0.5D) * ln(x.n + 1D) - x.n - 1D + {0.5 * math.log(2 * math.pi)!r}D + 1D / (12 * (x.n + 1D)) - 1D / (360 * pow(x.n + 1D, 3))"
+    n = "lf_x.n"
+    series = f"({n} + 0.5D) * ln({n} + 1D) - {n} - 1D + {0.5 * math.log(2 * math.pi)!r}D + 1D / (12 * ({n} + 1D)) - 1D / (360 * pow({n} + 1D, 3))"
     items = ", ".join(f"struct({sign}D as s, cast({n} as int) as n)" for sign, n in terms)
-    return f"aggregate(array({items}), 0D, (t, x) -> t + x.s * if(x.n < {TABLE}, get(array({table}), x.n), {series}))"
+    return f"aggregate(array({items}), 0D, (lf_t, lf_x) -> lf_t + lf_x.s * if(lf_x.n < {TABLE}, get(array({table}), lf_x.n), {series}))"
 
 
 def fisher(c0: str, c1: str, c2: str, c3: str) -> Column:
@@ -27,10 +28,11 @@ def fisher(c0: str, c1: str, c2: str, c3: str) -> Column:
     low, high = f"greatest(0L, {k0} - {r1})", f"least({r0}, {k0})"
     margins = [(1, r0), (1, r1), (1, k0), (1, k1), (-1, n)]
     first = ln_factorials(*margins, (-1, low), (-1, f"{r0} - {low}"), (-1, f"{k0} - {low}"), (-1, f"{r1} - {k0} + {low}"))
-    ratio = f"ln(cast({r0} - a as double) * ({k0} - a) / ((a + 1D) * ({r1} - {k0} + a + 1D)))"
-    far = f"abs(a * {n} - {r0} * {k0}) >= abs({c0} * {n} - {r0} * {k0})"
-    step = f"struct(s.t + if({far}, exp(s.l), 0D) as t, s.l + {ratio} as l)"
-    total = f"aggregate(sequence({low}, {high}), struct(0D as t, {first} as l), (s, a) -> {step}, s -> s.t)"
+    # the names of the lambdas' variables must not be those of columns
+    ratio = f"ln(cast({r0} - at_x as double) * ({k0} - at_x) / ((at_x + 1D) * ({r1} - {k0} + at_x + 1D)))"
+    far = f"abs(at_x * {n} - {r0} * {k0}) >= abs({c0} * {n} - {r0} * {k0})"
+    step = f"struct(so_far.t + if({far}, exp(so_far.l), 0D) as t, so_far.l + {ratio} as l)"
+    total = f"aggregate(sequence({low}, {high}), struct(0D as t, {first} as l), (so_far, at_x) -> {step}, so_far -> so_far.t)"
     return F.expr(f"CASE WHEN {n} = 0 THEN 1D ELSE least({total}, 1D) END")
 
 

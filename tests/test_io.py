@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import datetime
 import json
+import lzma
 
+import pytest
 from pyspark.sql import functions as F
 
 from methyloom.operators import context, model, snps
@@ -24,6 +26,37 @@ def test_fasta_and_sam(spark, tmp_path):
     assert contigs.first().length == 40 and [tuple(x) for x in groups.collect()] == [("b1", "s1", None)]
 
 
+def test_fasta_headers_may_hold_marks(spark, tmp_path):
+    (tmp_path / "g.fa").write_text("lost\n>c1 a > b\nAC\n\nG T\n>c2\n>c3 >\nnA\n")
+    got = [tuple(r) for r in genome.read_fasta(spark, str(tmp_path / "g.fa")).orderBy("contig", "pos").collect()]
+    assert got == [("c1", 1, 0), ("c1", 2, 1), ("c1", 3, 2), ("c1", 4, 3), ("c3", 1, None), ("c3", 2, 0)]
+    spans = spark.createDataFrame([("c1", 0, 5), ("c3", 1, 2)], "contig string, start_pos long, end_pos long")
+    ref = genome.read_fasta(spark, str(tmp_path / "g.fa"))
+    assert {r.contig: r.letters for r in genome.reference_string(ref, spans).collect()} == {"c1": "NACGTN", "c3": "NA"}
+
+
+def test_packed_lines_and_index(spark, tmp_path):
+    with lzma.open(tmp_path / "a.xz", "wt") as out:
+        out.write("one\ntwo\r\nthree")
+    (tmp_path / "b.txt").write_text("four\n")
+    got = snpfiles.read_lines(spark, str(tmp_path / "a.xz"), str(tmp_path / "b.txt")).orderBy("ord").collect()
+    assert [r.value for r in got] == ["one", "two", "three", "four"]
+    (tmp_path / "g.fai").write_text("c1\t8\t4\t60\t61\nshort\n")
+    assert [tuple(r) for r in genome.read_fasta_index(spark, str(tmp_path / "g.fai")).collect()] == [("c1", 8, 4, 60, 61)]
+
+
+def test_header_lines():
+    lines = outputs.vcf_header([("c1", 9, "b37", None, "x")], "s", groups=[("b1", "s1", None), ("b1", "s2", None), (None, "s3", None)], snps="known")
+    assert "##contig=<ID=c1,length=9,assembly=b37,sp=x>" in lines and '##sample_info=<ID="b1",SM="s1">' in lines and "##dbsnp=<known>" in lines
+    kinds = {x.split("ID=")[1].split(",")[0]: x.split(",")[1:3] for x in lines if x.startswith("##FORMAT")}
+    assert kinds["GL"] == ["Number=G", "Type=Float"] and kinds["MC8"] == ["Number=8", "Type=Integer"] and kinds["GT"] == ["Number=1", "Type=String"]
+    assert set(kinds) == set(outputs.FORMATS)
+    assert not any(x.startswith(("##fileDate", "##sample_info", "##dbsnp")) for x in outputs.vcf_header([], "s", benchmark=True, groups=[("b", "s", None)], snps="k"))
+    assert [outputs.output_kind(x) for x in ("a.vcf.gz", "a.parquet", "a")] == ["vcf.gz", "parquet", "vcf"]
+    with pytest.raises(ValueError):
+        outputs.output_kind("a.bcf")
+
+
 def test_snp_files(spark, tmp_path):
     (tmp_path / "a.bed").write_text("track x\nchr1\t4\t5\trs1\t+\nchr1\t4\t7\trs2\t+\nchr1\t1\t2\n")
     (tmp_path / "b.vcf").write_text("##fileformat=VCFv4.2\n#CHROM\nchr1\t9\trs3\tA\tG\t.\nchr1\t9\trs4\tA\tGT\t.\n")
@@ -57,6 +90,7 @@ def test_vcf_and_report(spark, tmp_path):
     tree = json.loads(outputs.json_report(s, date="2020-01-01"))
     assert tree["totalStats"]["SNPS"]["snps_all"] == 1 and tree["totalStats"]["dbSNP"]["variants_all"] == 1
     assert any(x["contig"] is None for x in tree["contigStats"])
+    assert tree["totalStats"]["CpG"] == [{"ref_cpg": True, "all": 1, "passed": tree["totalStats"]["CpG"][0]["passed"]}] and "filterStats" not in tree
 
 
 def test_streams_equal_batches(spark, tmp_path):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from methyloom.functions import bases as B
 from methyloom.functions import stats
-from methyloom.operators import cigar, context, contigs, filters, model, pileup, snps, templates
+from methyloom.operators import alignments, cigar, context, contigs, filters, model, pileup, report, snps, templates
 from methyloom.params import CallParams
 
 
@@ -189,3 +189,35 @@ def test_parameters_are_checked():
     assert CallParams(min_qual=99).min_qual == 43
     with pytest.raises(ValueError):
         CallParams(under_conversion=1.5)
+
+
+def test_duplicates_keep_the_best_template(spark):
+    base = [("a", 1, 50, 30), ("b", 2, 60, 20), ("c", 3, 60, 25), ("d", 4, 60, 25)]
+    out = [(o, q, 99, "chr1", 10, m, "chr1", 30, 60, [("M", 4)], "ACGT", [x] * 4, [("XG", "CT")]) for q, o, m, x in base]
+    out += [(o + 10, q, 147, "chr1", 30, m, "chr1", 10, -60, [("M", 4)], "ACGT", [x] * 4, [("XG", "CT")]) for q, o, m, x in base]
+    out += [(30, "alone", 99, "chr1", 10, 60, "chr1", 30, 60, [("M", 4)], "ACGT", [40] * 4, [("XG", "CT")])]
+    schema = "ord long, qname string, flag int, contig string, pos long, mapq int, mate_contig string, mate_pos long, isize int, cigar array<struct<op:string,len:int>>, seq string, qual array<int>, tags array<struct<tag:string,value:string>>"
+    usable = alignments.usable_reads(spark.createDataFrame(out, schema))
+    kept = alignments.kept_templates(usable).collect()
+    assert [(r.qname, r.n_dup, r.mean_qual) for r in kept] == [("c", 4, 25)]  # of equals the first read
+    more = {r.qname for r in alignments.kept_templates(usable, CallParams(keep_unmatched=True)).collect()}
+    assert more == {"c", "alone"}
+    every = {r.qname for r in alignments.kept_templates(usable, CallParams(keep_duplicates=True)).collect()}
+    assert every == {"a", "b", "c", "d"}
+    ref = spark.createDataFrame([("chr1", p, 0) for p in range(1, 40)], "contig string, pos long, ref int")
+    sites = alignments.sites_from_reads(spark.createDataFrame(out, schema), ref).collect()
+    assert sorted(r.pos for r in sites) == [10, 11, 12, 13, 30, 31, 32, 33] and all(r.n == 1 for r in sites)
+
+
+def test_gc_bins_count_from_the_first_known_base(spark):
+    ref = spark.createDataFrame([("c", p, None if p <= 150 else 1) for p in range(1, 351)], "contig string, pos long, ref int")
+    got = contigs.gc_bins(ref)
+    assert rows(got.select("bin", "first", "gc"), "bin") == [(0, 151, 100), (1, 151, 100)]
+    sites = spark.createDataFrame([("c", 151), ("c", 250), ("c", 251), ("c", 5)], "contig string, pos long")
+    assert rows(report.with_gc_bin(sites, got).select("pos", "bin"), "pos") == [(151, 0), (250, 0), (251, 1)]
+
+
+def test_fisher_of_deep_tables(spark):
+    df = spark.createDataFrame([(3000, 2900, 10, 4000), (20000, 20000, 20000, 20000)], "a long, b long, c long, d long")
+    one, two = [r[0] for r in df.select(stats.fisher(*"abcd")).collect()]
+    assert 0 <= one < 1e-200 and abs(two - 1) < 1e-6
