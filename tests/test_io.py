@@ -7,6 +7,7 @@ import lzma
 import pytest
 from pyspark.sql import functions as F
 
+from methyloom import options
 from methyloom.operators import context, model, snps
 from methyloom.sources import genome, outputs, snpfiles
 from methyloom.streaming import batch, live
@@ -113,3 +114,15 @@ def test_best_duplicate_stream(spark, tmp_path):
     live.run_to_end(live.live_best_of_duplicates(stream), str(tmp_path / "out"), str(tmp_path / "check"))
     got = [(r.qname, r.n) for r in spark.read.parquet(str(tmp_path / "out")).filter("st = 1").collect()]
     assert got == [("b", 3)]
+
+
+def test_options():
+    run = options.parse_options(["-r", "g.fa", "-L5", "-R", "1,2", "-k", "-q", "30", "-Q", "99", "-c", "0.02,7", "-o", "x.vcf.gz", "--benchmark-mode", "-t", "3", "a.sam"])
+    p = run.params
+    assert (p.left_trim, p.right_trim, p.keep_unmatched, p.min_mapq, p.min_qual) == ((5, 5), (1, 2), True, 30, 43)
+    assert (p.under_conversion, p.over_conversion, p.benchmark_mode) == (0.02, 0.05, True)
+    assert (run.kind, run.reference, run.alignments) == ("vcf.gz", "g.fa", "a.sam")
+    with pytest.raises(ValueError):
+        options.parse_options(["-r", "g.fa", "-O", "b"])
+    with pytest.raises(SystemExit):
+        options.parse_options(["a.sam"])
