@@ -41,10 +41,13 @@ def binned(intervals: DataFrame, start: str = "start_pos", end: str = "end_pos")
 
 def region_overlaps(regions: DataFrame) -> DataFrame:
     """Pairs of regions (both inclusive) of one contig that overlap: start/end of the earlier, start2/end2
-    of the later. Equal keys are bins, so no nested loop over all pairs."""
-    a = binned(regions)
-    b = binned(regions.select("contig", F.col("start_pos").alias("start2"), F.col("end_pos").alias("end2")), "start2", "end2")
-    pairs = a.join(b, ["contig", "_bin"]).filter("(start_pos < start2 or (start_pos = start2 and end_pos < end2)) and start2 <= end_pos")
+    of the later; a region that is there twice overlaps itself. Equal keys are bins, so no nested
+    loop over all pairs."""
+    rows = regions.groupBy("contig", "start_pos", "end_pos").agg(F.count(F.lit(1)).alias("times"))
+    a = binned(rows)
+    b = binned(rows.select("contig", F.col("start_pos").alias("start2"), F.col("end_pos").alias("end2")), "start2", "end2")
+    later = "start_pos < start2 or (start_pos = start2 and (end_pos < end2 or (end_pos = end2 and times > 1)))"
+    pairs = a.join(b, ["contig", "_bin"]).filter(f"({later}) and start2 <= end_pos")
     return pairs.select("contig", "start_pos", "end_pos", "start2", "end2").distinct()
 
 

@@ -106,6 +106,17 @@ def test_streams_equal_batches(spark, tmp_path):
     assert got == want
 
 
+def test_mates_meet_in_a_stream(spark, tmp_path):
+    t0 = datetime.datetime(2024, 1, 1)
+    at = lambda m: t0 + datetime.timedelta(minutes=m)
+    df = spark.createDataFrame([(at(0), "a", 0, 1), (at(5), "a", 1, 9), (at(0), "b", 0, 2), (at(30), "b", 1, 8), (at(1), "c", 1, 3)], "ts timestamp, qname string, is_reverse int, st long")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = live.read_files(spark, str(tmp_path / "in"), df.schema)
+    live.run_to_end(live.live_pairs(stream), str(tmp_path / "out"), str(tmp_path / "check"))
+    got = [(r.fwd_qname, r.fwd_st, r.rev_st) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert got == [("a", 1, 9)]  # b's mate comes after the allowed lateness, c has none
+
+
 def test_best_duplicate_stream(spark, tmp_path):
     t0 = datetime.datetime(2024, 1, 1)
     df = spark.createDataFrame([(t0, "c", 1, "a", 10), (t0, "c", 1, "b", 30), (t0, "c", 1, "d", 30), (t0 + datetime.timedelta(days=1), "c", 2, "e", 5)], "ts timestamp, contig string, st long, qname string, mapq long").coalesce(1)
