@@ -4,7 +4,8 @@ Every leaf of the tree holds the merge key of the symbol that starts at that byt
 live neighbour: ``rank * size + position``, or a value beyond all keys where no merge applies. The
 root is thus the lowest rank and, among equals, the leftmost position. A merge changes three leaves
 (the merged symbol, its left neighbour, the swallowed symbol), each in log2(size) steps, so a piece
-of n bytes takes O(n log n) whatever its contents.
+of n bytes takes O(n log n) whatever its contents. :func:`merge_pieces` runs the trees of many short pieces in
+lockstep, one numpy step for a merge in each; long pieces have a tree each (:func:`merge_piece`).
 
 Null texts count as empty; an empty text has no ids; any UTF-8 text is allowed, however long.
 """
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import chunks, extended, over_texts
 
+ENCODE_CHARS = 1_000_000  # of texts whose new runs are merged together
 CACHE_ENTRIES = 200_000  # runs of at most 64 characters remembered by a Python worker, some 40 MB
 
 
@@ -86,39 +88,180 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+NONE = np.int64(1 << 60)
+LOCKSTEP_BYTES = 64  # pieces up to this length run together
+
+
+class PairTable:
+    """Ranks of pairs of tokens (by their own ranks), by an open hash table."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = {}
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                left, right = ranks.get(token[:k]), ranks.get(token[k:])
+                if left is not None and right is not None:
+                    pairs[left << 32 | right] = rank
+        keys, values = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64)
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, -1, np.int64)
+        slot = self.slots(keys)
+        while len(keys):  # each round the first key to claim a free slot gets it, the others move on
+            free = self.keys[slot] < 0
+            taken, first = np.unique(slot[free], return_index=True)
+            which = np.nonzero(free)[0][first]
+            self.keys[taken], self.values[taken] = keys[which], values[which]
+            rest = np.ones(len(keys), bool)
+            rest[which] = False
+            keys, values, slot = keys[rest], values[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, -1 where no token is made of it."""
+        keys = left << 32 | right
+        slot, out = self.slots(keys), np.full(len(keys), -1, np.int64)
+        open_ = np.arange(len(keys))
+        while len(open_):
+            found = self.keys[slot[open_]]
+            hit = found == keys[open_]
+            out[open_[hit]] = self.values[slot[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+            slot[open_] = (slot[open_] + 1) & ((1 << self.bits) - 1)
+        return out
+
+
+def merge_pieces(pieces: list[bytes], single: np.ndarray, pairs: PairTable) -> list[bytes]:
+    """Ids (as little-endian unsigned 32-bit integers) of pieces of at most ``LOCKSTEP_BYTES`` bytes (``single``: the rank of each byte), the trees of
+    pieces of like lengths in lockstep."""
+    out = [b""] * len(pieces)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    bits = np.array([max(1, (n - 1).bit_length()) for n in range(LOCKSTEP_BYTES + 1)])[sizes]
+    for depth in np.unique(bits).tolist():
+        which = np.nonzero(bits == depth)[0]
+        size, n = 1 << depth, sizes[which]
+        rows = np.arange(len(which))
+        data = np.frombuffer(b"".join([pieces[i].ljust(size, b"\0") for i in which]), np.uint8).reshape(len(which), size)
+        symbol = single[data]
+        after = np.tile(np.arange(1, size + 2), (len(which), 1))  # start of the next live symbol
+        before = np.tile(np.arange(-1, size), (len(which), 1))  # start of the live symbol to the left
+        alive = np.arange(size) < n[:, None]
+        tree = np.full((len(which), 2 * size), NONE)
+        rank = pairs(symbol[:, :-1].ravel(), symbol[:, 1:].ravel()).reshape(len(which), size - 1)
+        key = rank * size + np.arange(size - 1)
+        tree[:, size:-1] = np.where((rank >= 0) & (np.arange(1, size) < n[:, None]), key, NONE)
+        for node in range(size - 1, 0, -1):
+            tree[:, node] = np.minimum(tree[:, 2 * node], tree[:, 2 * node + 1])
+        live = rows[tree[:, 1] < NONE]
+        while len(live):
+            best = tree[live, 1]
+            at, merged = best & (size - 1), best >> depth
+            gone = after[live, at]
+            stop = after[live, gone]
+            symbol[live, at], after[live, at], alive[live, gone] = merged, stop, False
+            inner = stop < n[live]
+            before[live[inner], stop[inner]] = at[inner]
+            left = before[live, at]
+            first = left >= 0
+            here = np.full(len(live), NONE)
+            rank = pairs(merged[inner], symbol[live[inner], stop[inner]])
+            here[inner] = np.where(rank >= 0, rank * size + at[inner], NONE)
+            rank = pairs(symbol[live[first], left[first]], merged[first])
+            tree[live[first], size + left[first]] = np.where(rank >= 0, rank * size + left[first], NONE)
+            tree[live, size + at], tree[live, size + gone] = here, NONE
+            for row, leaf in ((live[first], left[first]), (live, at), (live, gone)):
+                node = size + leaf
+                for _ in range(depth):
+                    node >>= 1
+                    tree[row, node] = np.minimum(tree[row, 2 * node], tree[row, 2 * node + 1])
+            live = live[tree[live, 1] < NONE]
+        ends = (4 * np.cumsum(alive.sum(axis=1))).tolist()
+        raw, start = symbol[alive].astype("<u4").tobytes(), 0
+        for i, end in zip(which.tolist(), ends):
+            out[i], start = raw[start:end], end
+    return out
+
+
 class Codec:
-    """Encoder and decoder over one rank file; remembers pieces up to ``CACHE_ENTRIES``."""
+    """Encoder and decoder over one rank file; remembers runs of text up to ``CACHE_ENTRIES``."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.tokens = {rank: token for token, rank in ranks.items()}
+        self.single, self.pairs = np.array([ranks[bytes([b])] for b in range(256)], np.int64), PairTable(ranks)
+        # texts that are one token each: as a whole piece they are encoded at once
+        self.whole: dict[str, bytes] = {}
+        for token, rank in ranks.items():
+            try:
+                text = token.decode()
+            except UnicodeDecodeError:
+                continue
+            if self.find(text) == [text]:
+                self.whole[text] = array("I", [rank]).tobytes()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def pieces(self, run: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.find(run):
-            ids += merge_piece(piece.encode(), self.ranks)
-        return array("I", ids).tobytes()
-
-    def missed(self, run: str) -> bytes:
-        """Ids of a run that the younger memory lacks; what the older one holds moves over."""
-        got = self.older.pop(run, None) or self.pieces(run)
-        if len(run) <= 64:
-            if len(self.known) >= CACHE_ENTRIES // 2:
-                self.older, self.known = self.known, {}
-            self.known[run] = got
-        return got
+    def learn(self, runs: set[str]) -> dict[str, bytes]:
+        """Ids of runs; those the older memory holds move over, short ones are remembered."""
+        made: dict[str, bytes] = {}  # of runs
+        several: dict[str, list[str]] = {}  # pieces of runs that have more than one
+        older, find, whole = self.older.get, self.find, self.whole.get
+        singles, pieces = [], set()
+        for run in runs:
+            got = older(run) or whole(run)
+            if got is None:
+                own = find(run)
+                if len(own) == 1:
+                    singles.append(run)
+                else:
+                    several[run] = own
+                    pieces.update(own)
+            else:
+                made[run] = got
+        merged: dict[str, bytes] = {}  # of pieces, each as it stands
+        group, lines = [], []
+        for piece in pieces.union(singles):
+            raw = piece.encode()
+            rank = self.ranks.get(raw)
+            if rank is not None:
+                merged[piece] = array("I", [rank]).tobytes()
+            elif len(raw) > LOCKSTEP_BYTES:
+                merged[piece] = array("I", merge_piece(raw, self.ranks)).tobytes()
+            else:
+                group.append(piece)
+                lines.append(raw)
+        for at in range(0, len(group), 20_000):
+            merged.update(zip(group[at : at + 20_000], merge_pieces(lines[at : at + 20_000], self.single, self.pairs)))
+        for run in singles:
+            made[run] = merged[run]
+        for run, own in several.items():
+            made[run] = b"".join([merged[piece] for piece in own])
+        if len(self.known) + len(made) > CACHE_ENTRIES // 2:
+            self.older, self.known = self.known, {}
+        self.known.update({run: ids for run, ids in made.items() if len(run) <= 64})
+        return made
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts as little-endian unsigned 32-bit integers; new runs of all texts are merged together."""
+        out, runs, held = [], [], 0
+        for i, text in enumerate(texts):
+            runs.append(word_runs(text))
+            held += len(text)
+            if held < ENCODE_CHARS and i + 1 < len(texts):
+                continue
+            coded = [list(map(self.known.get, own)) for own in runs]
+            new = {run for own, got in zip(runs, coded) if None in got for run, x in zip(own, got) if x is None}
+            made = self.learn(new) if new else {}
+            for own, got in zip(runs, coded):
+                if None in got:
+                    got = [made[run] if x is None else x for run, x in zip(own, got)]
+                out.append(np.frombuffer(b"".join(got), dtype="<u4"))
+            runs, held = [], 0
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
-        runs = word_runs(text)
-        parts = list(map(self.known.get, runs))
-        at = -1
-        for _ in range(parts.count(None)):
-            at = parts.index(None, at + 1)
-            parts[at] = self.known.get(runs[at]) or self.missed(runs[at])
-        return np.frombuffer(b"".join(parts), dtype="<u4")
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -167,7 +310,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made = codec(ranks_path, pattern)
         for part in chunks(frames, text):
-            yield part.assign(**{ids: [made.encode(t or "").astype(np.int64) for t in part[text]]})
+            yield part.assign(**{ids: [x.astype(np.int64) for x in made.encode_all([t or "" for t in part[text]])]})
 
     return over_texts(docs, run, schema)
 
@@ -194,8 +337,7 @@ def digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         made = codec(ranks_path, pattern)
         for part in chunks(frames, "text"):
             rows = []
-            for doc_id, text in zip(part["doc_id"], part["text"]):
-                ids = made.encode(text or "")
+            for doc_id, ids in zip(part["doc_id"], made.encode_all([text or "" for text in part["text"]])):
                 back = made.decode(ids.tolist())
                 rows.append((doc_id, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(back).hexdigest()))
             yield pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
