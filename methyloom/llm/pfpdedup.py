@@ -61,7 +61,7 @@ class Units:
     trigger: int
     period: int
     steps: tuple[int, ...]  # windows of the finer segments that edges are opened into
-    chunk: int = 600_000
+    chunk: int = 600_000  # characters of text handled at once
 
     def split(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The values of all texts' units, and each text's first unit and number of units."""
@@ -74,7 +74,7 @@ class Units:
 
 
 def byte_units(length: int = LENGTH) -> Units:
-    return Units(False, length, 12, 80, (8, 1))
+    return Units(False, length, 12, 80, (8, 1), 80_000)  # arrays of so many units stay in a core's cache
 
 
 def word_units(length: int = PASSAGE_WORDS) -> Units:
