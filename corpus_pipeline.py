@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from methyloom.llm import adaptjoin, cgkdecon, crflang, linedup, segbpe
-from methyloom.llm.common import documents, fresh_path, stored
+from methyloom.llm.common import documents, fresh_path, removed, stored
 from methyloom.llm.queries import PATTERN, RANKS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -70,10 +70,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again."""
-    docs = documents(spark, sf_dir)
+    """All stages over ``documents``, each written as Parquet and read again; what the stage before has
+    written goes once it has been read."""
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         path = fresh_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            removed(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
