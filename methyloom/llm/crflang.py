@@ -37,10 +37,10 @@ EPOCHS = 14
 RATE = 0.4
 PENALTY = 1e-5
 CACHE_WORDS = 100_000
-CHUNK = 500_000
+CHUNK = 1_500_000  # characters labelled at once: long lines take as many steps whatever stands beside them
 
 # letters as Python's patterns have them, which take numerals such as \u00b2 or \u2460 for letters too
-_tokens = re.compile(r"[^\W\d_]+|\n")
+_tokens = re.compile(r"[^\W\d_]+")
 
 
 def letters_of(token: str) -> list[str]:
@@ -68,14 +68,13 @@ def chains(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     owner_counts, starts = [], [0]
     for text in texts:
         before = len(words)
-        for token in _tokens.findall((text or "").lower()):
-            if token == "\n":
-                if starts[-1] != len(words):
-                    starts.append(len(words))
-            else:
-                words += letters_of(token)
-        if starts[-1] != len(words):
-            starts.append(len(words))
+        for line in (text or "").lower().split("\n"):
+            own = _tokens.findall(line)
+            if own and not "".join(own).isalpha():
+                own = [word for token in own for word in letters_of(token)]
+            if own:
+                words += own
+                starts.append(len(words))
         owner_counts.append(len(words) - before)
     return words, np.repeat(np.arange(len(texts)), owner_counts), np.array(starts)
 
