@@ -36,7 +36,7 @@ SAMPLE_CHARS = 1_200_000
 EPOCHS = 14
 RATE = 0.4
 PENALTY = 1e-5
-CACHE_WORDS = 100_000
+CACHE_WORDS = 300_000  # words whose scores a Python worker remembers, some 50 MB
 CHUNK = 1_500_000  # characters labelled at once: long lines take as many steps whatever stands beside them
 
 # letters as Python's patterns have them, which take numerals such as \u00b2 or \u2460 for letters too
