@@ -43,6 +43,7 @@ MATCHES = (0.5, 1.0, 2.0)  # l as a share of the shingles that may miss
 COMPARE_COST = 20.0  # of comparing two sets, in index entries scanned
 HUB_ROUNDS = 2
 SMALL_ENTRY = 24  # members
+SMALL_COMPONENT = 6  # classes: all pairs of so few are joined, more are compared in blocks
 BLOCK = 256  # classes compared at once
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -222,14 +223,14 @@ def _degrees(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     to. All its partners are in its own component."""
     sizes = known.groupBy("component").agg(F.count(F.lit(1)).alias("c"))
     known = stored(known.join(sizes, "component"), "sized")
-    few = known.filter(f"c <= {SMALL_ENTRY}").select("component", "cid")
+    few = known.filter(f"c <= {SMALL_COMPONENT}").select("component", "cid")
     pairs = few.withColumnRenamed("cid", "a").join(few.withColumnRenamed("cid", "b"), "component").filter("a < b").select("a", "b")
     found = _verified(pairs, sets, percent)
     few = found.select(F.col("a").alias("cid")).unionByName(found.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
 
     # similar sets are in one band of sizes or in neighbours (a band is a little wider than it need be)
     step = float(np.log(100.0 / percent)) * 1.001 + 1e-6
-    many = known.filter(f"c > {SMALL_ENTRY}").select("component", "cid").join(sets.select("cid", F.size("own").alias("n")), "cid")
+    many = known.filter(f"c > {SMALL_COMPONENT}").select("component", "cid").join(sets.select("cid", F.size("own").alias("n")), "cid")
     many = many.withColumn("band", F.floor(F.log("n") / F.lit(step)))
     parts = many.groupBy("component", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("parts"))
     many = many.join(parts, ["component", "band"]).select("component", "cid", "band", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"))
