@@ -25,14 +25,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow.fs as pafs
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import chunks, fresh_path, over_texts
-from .segbpe import word_runs
+from .segbpe import SPACES, word_runs
 
-CACHE_ENTRIES = 300_000  # runs remembered by a Python worker, some 60 MB
+CACHE_ENTRIES = 1_000_000  # runs remembered by a Python worker, some 200 MB
+JOINED = 64  # runs encoded as one text
+_spaces = frozenset(regex.findall(f"[{SPACES}]", "".join(map(chr, range(0xD800))) + "\ufeff"))
 NO_ID = np.iinfo(np.int64).min
 
 _encoders: dict[str, RunEncoder] = {}
@@ -51,14 +54,43 @@ class RunEncoder:
         self.whole = any(t.lstrip or t.rstrip or t.single_word or t.normalized or t.content.split() != [t.content] for t in added)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        own = self.tokenizer.get_added_tokens_decoder()
+        self.sizes = np.zeros(max([*vocabulary.values(), *own], default=0) + 1, np.int64)  # bytes of each id, a character each
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)
+        for i, t in own.items():
+            self.sizes[i] = len(t.content.encode("utf-8"))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def ids(self, texts: list[str]) -> list[bytes]:
+        made = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [array(self.code, x.ids).tobytes() for x in made]
+
+    def ids_of_runs(self, runs: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Runs and their ids. Runs that a text may be cut before and after are encoded many at once, back to
+        back, and the ids are dealt out by their bytes; where those do not meet the runs' ends, one by one."""
+        single, joined = [], []
+        for run in runs:
+            (single if self.whole or run[0] not in " \n" or run[-1] in _spaces else joined).append(run)
+        yield from zip(single, self.ids(single))
+        parts = [joined[at : at + JOINED] for at in range(0, len(joined), JOINED)]
+        for part, made in zip(parts, self.ids(["".join(part) for part in parts])):
+            ends = np.cumsum([len(run.encode("utf-8")) for run in part])
+            upto = np.cumsum(self.sizes[np.frombuffer(made, self.dtype)])
+            at = np.searchsorted(upto, ends)
+            if len(upto) and upto[-1] == ends[-1] and (upto[at] == ends).all():
+                cuts = [0, *((at + 1) * self.dtype.itemsize).tolist()]
+                yield from zip(part, [made[a:b] for a, b in zip(cuts[:-1], cuts[1:])])
+            else:
+                yield from zip(part, self.ids(part))
+
     def learn(self, runs: set[str]) -> None:
         """Remember the ids of runs; those the older memory holds move over without encoding."""
         if len(self.known) + len(runs) > CACHE_ENTRIES // 2:
             self.older, self.known = self.known, {}
-        known, older, code = self.known, self.older, self.code
+        known, older = self.known, self.older
         missing = []
         for run in runs:
             if (got := older.get(run)) is None:
@@ -66,9 +98,7 @@ class RunEncoder:
             else:
                 known[run] = got
         for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            made = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            known.update((run, array(code, x.ids).tobytes()) for run, x in zip(part, made))
+            known.update(self.ids_of_runs(missing[at : at + 20_000]))
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         tail, out = array(self.code, [end]).tobytes(), []

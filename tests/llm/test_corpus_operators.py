@@ -492,6 +492,19 @@ def test_token_files(spark):
     assert tokenfiles.read_token_files(spark, tokenfiles.write_token_files(docs(spark, []), path)).count() == 0
 
 
+def test_runs_are_encoded_together():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, rng = Tokenizer.from_file(path), random.Random(10)
+    words = ["one", "é漢😀", "0x" + "ab" * 40, "a\u3000b", "x\x85", "it's", "<|endoftext|>", "!", "\n", "  ", "\t"]
+    texts = ["".join(rng.choice([" ", "\n", "", "  "]) + rng.choice(words) + str(rng.randrange(400)) * rng.randrange(2) for _ in range(60)) for _ in range(80)]
+    made, calls = tokenfiles.RunEncoder(path), []
+    plain = made.ids
+    made.ids = lambda own: calls.append(len(own)) or plain(own)
+    got = [np.frombuffer(x, made.dtype).tolist() for x in made.encode(texts, 2)]
+    assert got == [tok.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert sum(calls) < len(made.known) / 2
+
+
 # 9 ---------------------------------------------------------------------------------------------------
 
 
