@@ -11,7 +11,13 @@ the partner has are in the partner's prefix too. So x's entries that nobody shar
 and so are the partner's up to that place; together they must not exceed the difference that the
 similarity allows. Documents with too many such entries can only be the partner whose prefix ends
 later, which few are: most of a corpus drops out here. Pairs are checked against the same bound, then
-for l_x shared entries, and only then by their sets.
+for l_x shared entries, then by parity maps, and only then by their sets.
+
+**Parity maps.** A class's map has a bit for each of at least 2 n cells (powers of two, up to ``MAP_BITS``): whether an odd
+number of its shingles fall there. Bits that differ between two maps, the larger one folded to the
+smaller's size, are no more than the shingles that one set has and the other has not, so a pair with too
+many of them is dissimilar for certain. Maps take a thirtieth of the sets; of the sets only
+those move that the pairs left ask for.
 
 **Groups.** Documents of equal sets form one class; classes are joined. Not all pairs of an index entry
 are tried: in some rounds every member is compared with one hub of its entry, the one with the
@@ -45,6 +51,7 @@ HUB_ROUNDS = 2
 SMALL_ENTRY = 24  # members
 SMALL_COMPONENT = 6  # classes: all pairs of so few are joined, more are compared in blocks
 BLOCK = 256  # classes compared at once
+MAP_BITS = 1 << 16  # of the largest parity maps; the smallest have 256
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -174,24 +181,64 @@ def _sets(docs: DataFrame, width: int, sketch: np.ndarray, load: int, percent: i
     return over_texts(docs.select("doc_id", "th", "text"), run, "doc_id long, th long, n long, cid long, keys array<long>, l int")
 
 
+def parity_map(own: np.ndarray) -> np.ndarray:
+    """Cell c is bit c % 64 of word c // 64; cells are the hashes' lowest bits, so a map folds to a half by
+    exclusive or of its halves."""
+    cells = min(max(256, 1 << (2 * len(own) - 1).bit_length()), MAP_BITS)
+    odd = np.bincount((own & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def differing(x: str, y: str) -> str:
+    """SQL: bits in which two parity maps differ, the longer one folded to the shorter one's length."""
+    small = f"least(size({x}), size({y}))"
+
+    def folded(m: str) -> str:
+        part = f"transform(sequence(0, {small} - 1), i -> aggregate(sequence(i, size({m}) - 1, {small}), 0L, (s, k) -> s ^ {m}[k]))"
+        return f"if(size({m}) = {small}, {m}, {part})"
+
+    return f"aggregate(zip_with({folded(x)}, {folded(y)}, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
+
+
+def _allowed(percent: int, n: str = "n", n2: str = "n2") -> str:
+    """SQL: shingles that only one of two sets of these sizes may have."""
+    return f"({n} + {n2} - 2 * ceil({percent} * ({n} + {n2}) / {100 + percent}.0D))"
+
+
 def _texts_of(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """cid and set of the texts in ``wanted`` (th, their hashes)."""
+    """cid, n, parity map and set of the texts in ``wanted`` (th, their hashes); copies repeat."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in chunks(frames, "text", 1_000_000):
-            sets = shingle_sets(list(part["text"]), width)
-            yield pd.DataFrame({"cid": [class_id(x) if len(x) else 0 for x in sets], "own": [x.astype(np.int64) for x in sets]})
+            sets = [x for x in shingle_sets(list(part["text"]), width) if len(x)]
+            yield pd.DataFrame({"cid": [class_id(x) for x in sets], "n": [len(x) for x in sets], "odd": [parity_map(x) for x in sets], "own": [x.astype(np.int64) for x in sets]})
 
     rows = touched(docs.select("th", "text"), wanted, "th").join(wanted, "th", "left_semi")
-    return over_texts(rows.select("text"), run, "cid long, own array<long>")
+    return over_texts(rows.select("text"), run, "cid long, n int, odd array<long>, own array<long>")
+
+
+def _of(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """cid and set of the ``classes`` (cid), each once; no other set moves."""
+    rows = touched(sets.select("cid", "own"), classes, "cid").join(classes, "cid", "left_semi")
+    return rows.groupBy("cid").agg(F.first("own").alias("own"))
+
+
+def _likely(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and parity maps (cid, n, odd) do not rule them out."""
+    one = maps.select(F.col("cid").alias("a"), "n", F.col("odd").alias("x"))
+    two = maps.select(F.col("cid").alias("b"), F.col("n").alias("n2"), F.col("odd").alias("y"))
+    return pairs.join(one, "a").join(two, "b").filter(f"100 * least(n, n2) >= {percent} * greatest(n, n2) and {differing('x', 'y')} <= {_allowed(percent)}").select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar enough."""
-    one = sets.select(F.col("cid").alias("a"), F.col("own").alias("x"))
-    two = sets.select(F.col("cid").alias("b"), F.col("own").alias("y"))
+def _verified(pairs: DataFrame, maps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs (a, b) of classes whose sets are similar enough."""
+    pairs = stored(_likely(pairs, maps, percent), "likely")
+    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    held = _of(sets, wanted)
+    one = held.select(F.col("cid").alias("a"), F.col("own").alias("x"))
+    two = held.select(F.col("cid").alias("b"), F.col("own").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(one, "a").join(two, "b").filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
+    return pairs.join(one, "a").join(two, "b").filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
 def partners(x: list[np.ndarray], y: list[np.ndarray], percent: int, width: int = 8192) -> np.ndarray:
@@ -218,19 +265,21 @@ def partners(x: list[np.ndarray], y: list[np.ndarray], percent: int, width: int
     return 100 * both >= percent * (n[:, None] + n2[None, :] - both)
 
 
-def _degrees(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _degrees(known: DataFrame, maps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """cid and n_links: how many other classes each class of a component (cid, component) is similar
     to. All its partners are in its own component."""
     sizes = known.groupBy("component").agg(F.count(F.lit(1)).alias("c"))
     known = stored(known.join(sizes, "component"), "sized")
     few = known.filter(f"c <= {SMALL_COMPONENT}").select("component", "cid")
     pairs = few.withColumnRenamed("cid", "a").join(few.withColumnRenamed("cid", "b"), "component").filter("a < b").select("a", "b")
-    found = _verified(pairs, sets, percent)
+    found = stored(_verified(pairs, maps, sets, percent), "linked")
     few = found.select(F.col("a").alias("cid")).unionByName(found.select(F.col("b").alias("cid"))).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
 
     # similar sets are in one band of sizes or in neighbours (a band is a little wider than it need be)
     step = float(np.log(100.0 / percent)) * 1.001 + 1e-6
-    many = known.filter(f"c > {SMALL_COMPONENT}").select("component", "cid").join(sets.select("cid", F.size("own").alias("n")), "cid")
+    many = known.filter(f"c > {SMALL_COMPONENT}").select("component", "cid").join(maps.select("cid", "n"), "cid")
+    many = stored(many, "many")
+    large = many.select("cid")
     many = many.withColumn("band", F.floor(F.log("n") / F.lit(step)))
     parts = many.groupBy("component", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("parts"))
     many = many.join(parts, ["component", "band"]).select("component", "cid", "band", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"))
@@ -238,7 +287,7 @@ def _degrees(known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     many = many.join(parts.withColumnRenamed("band", "band2"), ["component", "band2"]).withColumn("part2", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     one, two = F.struct("band", "part"), F.struct(F.col("band2").alias("band"), F.col("part2").alias("part"))
     many = many.select("component", "cid", F.least(one, two).alias("x"), F.greatest(one, two).alias("y"), (one <= two).alias("left"))
-    many = many.select("component", "cid", "x.*", F.col("y.band").alias("band2"), F.col("y.part").alias("part2"), "left").join(sets, "cid")
+    many = many.select("component", "cid", "x.*", F.col("y.band").alias("band2"), F.col("y.part").alias("part2"), "left").join(_of(sets, large), "cid")
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         first = frame.iloc[0]
@@ -268,9 +317,9 @@ def jaccard_components(docs: DataFrame, width: int = 3, percent: int = 90) -> Da
     return members.join(first, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def jaccard_members(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
+def jaccard_members(docs: DataFrame, width: int = 3, percent: int = 90, count_links: bool = True) -> DataFrame:
     """doc_id, th (the text's 64-bit hash), n (shingles), comp (a number of the component, null without
-    shingles) and n_links (null for none) of every row of ``docs``."""
+    shingles) and, with ``count_links``, n_links (null for none) of every row of ``docs``."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     sketch, load = frequency_sketch(docs, width)
     found = stored(_sets(docs, width, sketch, load, percent), "sets")
@@ -293,18 +342,23 @@ def jaccard_members(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     index = stored(rows.join(ends, "key").filter("strong or last >= first_end").drop("first_end", "c"), "entries")
     # texts of equal sets have one class; of each class one text is asked for
     sets = stored(_texts_of(docs, width, index.select("th").distinct()), "compared")
+    maps = stored(sets.groupBy("cid").agg(F.first("n").alias("n"), F.first("odd").alias("odd")), "maps")
     index = index.drop("th").withColumn("band", F.floor(F.log("n") / F.log(F.lit(100.0 / percent))).cast("int"))
 
+    allowed = _allowed(percent)
     near = f"100 * least(n, n2) >= {percent} * greatest(n, n2)"
+    # the one of two whose prefix ends first is strong, and its unshared keys are not too many
+    earlier = f"if(last < last2 or (last = last2 and cid < hub), strong and alone_n <= {allowed}, strong2 and alone_n2 <= {allowed})"
     links, known = None, None
     for turn in range(HUB_ROUNDS):
         rows = index.withColumn("comp", F.col("cid")) if known is None else index.join(known, "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
         # even rounds take the most central class of an entry as its hub, odd ones any
         worth = F.col("alone_n").cast("long") if turn % 2 == 0 else F.lit(0).cast("long")
-        hub = rows.groupBy("key", "band").agg(F.min(F.struct(worth.alias("w"), F.xxhash64("cid", F.lit(turn)).alias("h"), F.col("cid").alias("hub"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))).alias("s"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+        told = [F.col(c).alias(f"{c}2") for c in ("n", "last", "strong", "alone_n", "comp")]
+        hub = rows.groupBy("key", "band").agg(F.min(F.struct(worth.alias("w"), F.xxhash64("cid", F.lit(turn)).alias("h"), F.col("cid").alias("hub"), *told)).alias("s"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
         hub = hub.filter("c1 <> c2").select("key", "band", "s.*")
-        pairs = rows.join(hub, ["key", "band"]).filter(f"comp <> comp2 and {near}").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
-        new = _verified(pairs, sets, percent)
+        pairs = rows.join(hub, ["key", "band"]).filter(f"comp <> comp2 and {near} and {earlier}").select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
+        new = _verified(pairs, maps, sets, percent)
         links = stored(new if links is None else links.unionByName(new), "links")
         known = components(links).select(F.col("id").alias("cid"), "component")
 
@@ -313,7 +367,6 @@ def jaccard_members(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
     rows = stored(rows.join(sizes, "key").join(index.select("key", "cid", "n", "l", "last", "strong", "alone_n"), ["key", "cid"]), "open")
 
     # a is the class whose prefix ends first; tests are the joins' own conditions, cheapest first
-    allowed = f"n + n2 - 2 * ceil({percent} * (n + n2) / {100 + percent}.0D)"
     first = f"strong and (last < last2 or (last = last2 and cid < cid2)) and comp <> comp2 and {near} and alone_n <= {allowed}"
     unshared = "alone_n + every2 * size(filter(some2, x -> x <= last))"
     common = "array_intersect(mine, mine2)"
@@ -342,9 +395,11 @@ def jaccard_members(docs: DataFrame, width: int = 3, percent: int = 90) -> DataF
 
     many = tested(others, large).unionByName(tested(large.filter("comp = main"), others))
     pairs = stored(few.unionByName(many).select(F.least("cid", "cid2").alias("a"), F.greatest("cid", "cid2").alias("b")).distinct(), "pairs")
-    links = stored(links.unionByName(_verified(pairs, sets, percent)).distinct(), "links")
+    links = stored(links.unionByName(_verified(pairs, maps, sets, percent)).distinct(), "links")
     known = components(links).select(F.col("id").alias("cid"), "component")
 
-    degree = _degrees(known, sets.dropDuplicates(["cid"]), percent)
-    members = found.select("doc_id", "th", "n", "cid").join(known, "cid", "left").join(degree, "cid", "left")
-    return members.select("doc_id", "th", "n", F.coalesce("component", "cid").alias("comp"), "n_links")
+    members = found.select("doc_id", "th", "n", "cid").join(known, "cid", "left")
+    shown = ["doc_id", "th", "n", F.coalesce("component", "cid").alias("comp")]
+    if not count_links:
+        return members.select(*shown)
+    return members.join(_degrees(known, maps, sets, percent), "cid", "left").select(*shown, "n_links")

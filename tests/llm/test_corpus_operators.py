@@ -236,6 +236,23 @@ def test_words_of_regular_patterns_differ(spark):
     assert [r.n_removed for r in pfpdedup.remove_repeats(docs(spark, text), 2048).collect()] == [0, 0]
 
 
+def test_parity_maps_rule_out_dissimilar_pairs(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 40_000).astype(np.uint64)
+    sets = [base[a:b] for n in (5, 120, 130, 500, 520, 4_000, 4_200, 36_000) for a, b in ((0, n), (n // 40, n), (n, 2 * n if n < 20_000 else 40_000))]
+    rows = [(i, len(x), adaptjoin.parity_map(x).tolist(), x.astype(np.int64).tolist()) for i, x in enumerate(sets)]
+    assert len({len(r[2]) for r in rows}) > 4
+    table = spark.createDataFrame(rows, "cid long, n int, odd array<long>, own array<long>")
+    pairs = spark.range(len(sets)).withColumnRenamed("id", "a").crossJoin(spark.range(len(sets)).withColumnRenamed("id", "b")).filter("a < b")
+    differ = pairs.join(table.selectExpr("cid a", "odd x"), "a").join(table.selectExpr("cid b", "odd y"), "b")
+    for r in differ.selectExpr("a", "b", f"{adaptjoin.differing('x', 'y')} d").collect():
+        assert r.d <= len(np.setxor1d(sets[r.a], sets[r.b]))
+    linked = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(k := np.intersect1d(sets[i], sets[j])) >= 90 * (len(sets[i]) + len(sets[j]) - len(k))}
+    likely = {(r.a, r.b) for r in adaptjoin._likely(pairs, table, 90).collect()}
+    assert linked <= likely and len(likely) < pairs.count() / 4
+    assert {(r.a, r.b) for r in adaptjoin._verified(pairs, table, table, 90).collect()} == linked
+
+
 def test_classes_without_doc_id(spark):
     rng = random.Random(33)
     text = prose(rng, 60, [f"w{k}" for k in range(300)])
