@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import re
 import shutil
 import tempfile
@@ -63,9 +64,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
             spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._methyloom_path = path
+    relieve(spark)
     return out
 
 
+def relieve(spark: SparkSession) -> None:
+    """Let the driver collect its garbage once its heap has grown to half of what it may have: plans that
+    ran are dead by then, and the heap shrinks again."""
+    runtime = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    if 2 * runtime.totalMemory() > runtime.maxMemory():
+        gc.collect()  # what Python still refers to stays alive in the JVM
+        spark.sparkContext._jvm.System.gc()
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables made by :func:`stored` that nothing reads any more."""
     for table in tables:

@@ -8,6 +8,7 @@ import hashlib
 import random
 import re
 import zlib
+from unittest import mock
 
 import duckdb
 import numpy as np
@@ -17,7 +18,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from methyloom.llm import adaptjoin, cgkdecon, crflang, jpegmedia, linedup, pfpdedup, queries, reshard, secretscan, segbpe, tokenfiles
+from methyloom.llm import adaptjoin, cgkdecon, common, crflang, jpegmedia, linedup, pfpdedup, queries, reshard, secretscan, segbpe, tokenfiles
 from methyloom.llm.components import components
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -253,6 +254,14 @@ def test_parity_maps_rule_out_dissimilar_pairs(spark):
     assert {(r.a, r.b) for r in adaptjoin._verified(pairs, table, table, 90).collect()} == linked
 
 
+@pytest.mark.parametrize(("total", "calls"), [(40, 0), (60, 1)])
+def test_driver_collects_garbage_when_half_full(total, calls):
+    jvm = mock.MagicMock()
+    jvm.java.lang.Runtime.getRuntime.return_value = mock.Mock(totalMemory=lambda: total, maxMemory=lambda: 100)
+    common.relieve(mock.Mock(sparkContext=mock.Mock(_jvm=jvm)))
+    assert jvm.System.gc.call_count == calls
+
+
 def test_classes_without_doc_id(spark):
     rng = random.Random(33)
     text = prose(rng, 60, [f"w{k}" for k in range(300)])
