@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.bases import base_code, base_letter
 from ..operators.cigar import parse_cigar
 from ..operators.contigs import valid_regions
+from ..operators.model import settled
 from ..operators.templates import carried
 from .snpfiles import tokens
 
@@ -85,7 +86,8 @@ def parse_sam(lines: DataFrame) -> DataFrame:
     seq, qual (array) and tags (array of tag, value). Header lines and lines of fewer than eleven fields go."""
     lines = lines.filter(~F.startswith("value", F.lit("@")))
     f = lambda i: F.get("f", F.lit(i))
-    rows = lines.select("ord", F.split("value", "\t").alias("f")).filter(F.size("f") >= 11)
+    # settled: filters of the fields would otherwise split the line again for each use of a field
+    rows = settled(lines.select("ord", F.split("value", "\t").alias("f"))).filter(F.size("f") >= 11)
     mate = F.when(f(6) == "=", f(2)).otherwise(f(6))
     quality = F.when(f(10) == "*", F.expr("cast(array() as array<int>)")).otherwise(F.transform(F.split(f(10), ""), lambda c: F.ascii(c) - 33))
     tags = F.transform(F.slice("f", 12, F.size("f")), lambda t: F.struct(F.substring(t, 1, 2).alias("tag"), F.substr(t, F.lit(6)).alias("value")))
