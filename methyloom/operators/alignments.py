@@ -82,7 +82,7 @@ def marked_bases(reads: DataFrame, params: CallParams = CallParams()) -> DataFra
     usable = usable_reads(reads, params)
     kept = kept_templates(usable, params).select("contig", "qname")
     usable = usable.join(kept, ["contig", "qname"], "left_semi")
-    return cigar.mark_mate_overlap(cigar.aligned_bases(usable, params, clips=True), usable)
+    return cigar.aligned_bases(cigar.with_mate_overlap(usable), params, clips=True)
 
 
 def sites_from_reads(reads: DataFrame, ref: DataFrame, params: CallParams = CallParams()) -> DataFrame:
