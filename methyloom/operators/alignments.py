@@ -45,9 +45,12 @@ def mean_quality(quals: Column | str) -> Column:
 def templates(reads: DataFrame) -> DataFrame:
     """One row for each (contig, qname): positions and strand (of its first read), mates (1 or 2), whole means
     of mapping quality over mates and of base quality over all bases, and ord, its first read."""
+    total = F.aggregate("qual", F.lit(0), lambda t, q: t + F.least(q, F.lit(cigar.MAX_QUAL)))
+    # mates rarely meet before the shuffle, so it comes first and without the arrays: nothing is sorted for it
+    few = reads.select("contig", "qname", "ord", "fwd_pos", "rev_pos", "bs_strand", "is_reverse", "is_paired", "mapq", F.size("qual").alias("_n"), total.alias("_q"))
     row = F.struct("ord", "fwd_pos", "rev_pos", "bs_strand")
-    own = F.struct("ord", F.col("mapq").alias("mapq"), F.size("qual").alias("n"), F.aggregate("qual", F.lit(0), lambda t, q: t + F.least(q, F.lit(cigar.MAX_QUAL))).alias("q"))
-    rows = reads.groupBy("contig", "qname").agg(
+    own = F.struct("ord", "mapq", F.col("_n").alias("n"), F.col("_q").alias("q"))
+    rows = few.repartition("contig", "qname").groupBy("contig", "qname").agg(
         F.min(row).alias("_first"),
         F.min(F.when(~F.col("is_reverse"), own)).alias("_fwd"),
         F.min(F.when(F.col("is_reverse"), own)).alias("_rev"),
